@@ -27,7 +27,7 @@ from .common import slices, table
 from .vocabulary import DEFAULT_VOCABULARY, PATTERN, PieceCache, digest, encoder_of, ranks_of, read_vocabulary
 
 #: Documents of which the dictionary is trained at most, and its size: a bounded sample, drawn by hash from all rows.
-SAMPLE_DOCS, SAMPLE_BYTES_EACH, DICTIONARY_BYTES, LEVEL = 2000, 16_384, 65_536, 3
+SAMPLE_DOCS, DICTIONARY_BYTES, LEVEL = 2000, 65_536, 3
 SCHEMA = "{id} long, shard int, offset long, n_bytes int, n_tokens long, dict_hash string, payload binary"
 
 
@@ -58,9 +58,8 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
 
 
 def dictionary_sample(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """The n texts of the lowest hashes: narrow top-k, then no more than these texts reach the driver."""
-    part = F.substring(F.col(text_col), 1, SAMPLE_BYTES_EACH // 2)
-    return docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(text_col)).alias("h"), part.alias("t")).orderBy("h", "t").limit(n)
+    """The n whole texts of the lowest hashes: a top-k, so no more than these texts reach the driver."""
+    return docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("t")).orderBy("h", "t").limit(n)
 
 
 def _compressor(dictionary: bytes):
