@@ -6,6 +6,7 @@ from importlib import import_module
 
 #: query name -> module of this package that holds the function of that name
 NAMES = {
+    "op9_source_mixing": "mixing",
     "op5_jaccard_join": "jaccard_join",
     "op7_decontamination": "decontamination",
     "op2_language_id": "language_id",
