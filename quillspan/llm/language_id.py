@@ -102,50 +102,44 @@ def _found(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, keys[at] == wanted
 
 
-def fit_language(counts: dict[str, int], order: int) -> tuple[list, list, float]:
-    """Kneser-Ney of one language from the counts of its n-grams of the highest order."""
-    grams, contexts = [], []
-    level = {g: c for g, c in counts.items() if len(g) == order}
-    levels = [level]
+def _row_hashes(grams: np.ndarray) -> np.ndarray:
+    """Hash of each row of code points, as ``Model`` looks it up."""
+    h = np.zeros(len(grams), dtype=U64)
+    for k in range(grams.shape[1]):
+        h *= GOLD
+        h += grams[:, k]
+    return mix(h + U64(grams.shape[1]))
+
+
+def fit_language(grams: np.ndarray, counts: np.ndarray, order: int) -> tuple[list, list, float]:
+    """Kneser-Ney of one language from its distinct n-grams of the highest order [gram, sign] and their counts."""
+    levels = [(grams, counts.astype(float))]
     for _ in range(order - 1):  # below the highest, a gram counts once for each sign that it was seen after
-        lower: dict[str, int] = {}
-        for g in level:
-            lower[g[1:]] = lower.get(g[1:], 0) + 1
-        level = lower
-        levels.append(level)
+        shorter = levels[-1][0][:, 1:]
+        _, first, n = np.unique(_row_hashes(shorter), return_index=True, return_counts=True)
+        levels.append((shorter[first], n.astype(float)))
     levels.reverse()
-    signs = max(1, len(levels[0]))
-    floor = -np.log(signs + 1.0)
-    below = {"": 1.0 / (signs + 1)}
-    for n, level in enumerate(levels, 1):
-        ones, twos = sum(c == 1 for c in level.values()), sum(c == 2 for c in level.values())
+    out, contexts, base = [], [], 1.0 / (len(levels[0][0]) + 1)
+    floor = np.log(base)
+    below_keys = below = np.zeros(0)
+    for n, (level, c) in enumerate(levels, 1):
+        ones, twos = (c == 1).sum(), (c == 2).sum()
         discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-        total: dict[str, int] = {}
-        kinds: dict[str, int] = {}
-        for g, c in level.items():
-            total[g[:-1]] = total.get(g[:-1], 0) + c
-            kinds[g[:-1]] = kinds.get(g[:-1], 0) + 1
-        weight = {h: discount * kinds[h] / total[h] for h in total}
-        base = below[""] if n == 1 else None
-        p = {g: (c - discount) / total[g[:-1]] + weight[g[:-1]] * (base if n == 1 else below[g[1:]]) for g, c in level.items()}
+        context = _row_hashes(level[:, :-1]) if n > 1 else np.zeros(len(level), dtype=U64)
+        distinct, which = np.unique(context, return_inverse=True)
+        total = np.bincount(which, weights=c)
+        weight = discount * np.bincount(which) / total
+        lower = base if n == 1 else below[np.searchsorted(below_keys, _row_hashes(level[:, 1:]))]
+        p = (c - discount) / total[which] + weight[which] * lower
         if n == 1:
-            floor = float(np.log(weight.get("", 1.0) * base)) if total else floor
+            floor = float(np.log(weight[0] * base)) if len(weight) else floor
         else:
-            contexts.append(_sorted(weight, n - 1))
-        grams.append(_sorted(p, n))
-        below = p
-    return grams, contexts, floor
-
-
-def _sorted(values: dict[str, float], n: int) -> tuple[np.ndarray, np.ndarray]:
-    text = np.frombuffer("".join(values).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(-1, n).astype(U64)
-    h = np.zeros(len(text), dtype=U64)
-    for k in range(n):
-        h *= GOLD
-        h += text[:, k]
-    h, v = mix(h + U64(n)), np.log(np.fromiter(values.values(), dtype=float, count=len(values)))
-    order = np.argsort(h)
-    return h[order], v[order]
+            contexts.append((distinct, np.log(weight)))
+        key = _row_hashes(level)
+        order_of = np.argsort(key)
+        below_keys, below = key[order_of], p[order_of]
+        out.append((below_keys, np.log(below)))
+    return out, contexts, floor
 
 
 class Scorer:
@@ -205,14 +199,19 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     sample = sample_of_labelled(docs, id_col, text_col, lang_col, sample_docs).persist()
     odd = F.col("rank") % 2 == 1  # odd ranks train, even ones calibrate, so that a language of few documents has both
     counted = sample.where(odd).select("language", "t").mapInPandas(_gram_counts(order), "language string, gram string, n long")
-    by: dict[str, dict[str, int]] = {}
-    for r in counted.groupBy("language", "gram").agg(F.sum("n").alias("n")).toLocalIterator():
-        by.setdefault(r.language, {})[r.gram] = r.n
-    fitted = {name: fit_language(by[name], order) for name in sorted(by)}
+    counts = counted.groupBy("language", "gram").agg(F.sum("n").alias("n")).persist()
+    fitted = {}
+    for name in sorted(r.language for r in sample.select("language").distinct().collect()):
+        mine = counts.where(F.col("language") == name).select("gram", "n").toArrow()
+        if not mine.num_rows:
+            continue
+        signs = np.frombuffer("".join(mine.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        fitted[name] = fit_language(signs.reshape(-1, order), np.asarray(mine.column("n")), order)
     model = Model(list(fitted), order, [x[0] for x in fitted.values()], [x[1] for x in fitted.values()], [x[2] for x in fitted.values()], key=uuid.uuid4().hex)
     held = sample.where(~odd).select("language", "t").toPandas()
     model.limits = calibrate(model, held["language"].tolist(), held["t"].tolist())
     sample.unpersist()
+    counts.unpersist()
     return model
 
 
@@ -222,7 +221,9 @@ def calibrate(model: Model, languages: list[str], texts: list[str], false_reject
     if not texts:
         out[:, :3] = (0, 1, 0)
         return out
-    ce, sizes = Scorer(model).cross_entropies(texts)
+    scorer = Scorer(model)
+    parts = [scorer.cross_entropies(texts[i : i + 50]) for i in range(0, len(texts), 50)]
+    ce, sizes = (np.concatenate(x) for x in zip(*parts))
     for i, name in enumerate(model.languages):
         mine = np.array([x == name for x in languages]) & ~np.isnan(ce[:, i])
         x, n = ce[mine, i], np.maximum(sizes[mine], 1)
