@@ -6,12 +6,13 @@ from importlib import import_module
 
 #: query name -> module of this package that holds the function of that name
 NAMES = {
-    "op9_source_mixing": "mixing",
-    "op5_jaccard_join": "jaccard_join",
-    "op7_decontamination": "decontamination",
+    "op1_pii_surrogates": "pii_surrogates",
     "op2_language_id": "language_id",
     "op4_token_binary": "token_binary",
+    "op5_jaccard_join": "jaccard_join",
+    "op7_decontamination": "decontamination",
     "op8_token_counts": "token_counts",
+    "op9_source_mixing": "mixing",
 }
 
 
