@@ -8,11 +8,14 @@ from importlib import import_module
 NAMES = {
     "op1_pii_surrogates": "pii_surrogates",
     "op2_language_id": "language_id",
+    "op3_chat_formatting": "chat_template",
     "op4_token_binary": "token_binary",
     "op5_jaccard_join": "jaccard_join",
+    "op6_embedding_caps": "embedding_caps",
     "op7_decontamination": "decontamination",
     "op8_token_counts": "token_counts",
     "op9_source_mixing": "mixing",
+    "op10_rule_ensemble": "rule_ensemble",
 }
 
 
