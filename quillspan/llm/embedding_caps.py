@@ -1,11 +1,12 @@
 """Near copies among embeddings by spherical-cap filters.
 
 Filter directions are the sums of one code word of each block: after a random rotation the space is cut into
-``BLOCKS`` parts, each with a code of random unit vectors, and a direction takes one code word of every block.
+blocks, each with a code of random unit vectors, and a direction takes one code word of every block. There are ``CODES``
+such product codes, each with a rotation of its own, so that no vector lies badly in all of them.
 A vector falls into the cap of every direction with which its product exceeds ``alpha``; these are list-decoded block
 by block, and a prefix is dropped as soon as even the best remaining code words could not lift it over ``alpha``. Vectors
 that share a cap are compared exactly. Caps shrink smoothly as the table grows, so that a cap holds about ``CAP_LOAD``
-unrelated vectors, and their number is what gives a pair at the threshold about ``SHARED`` common caps.
+unrelated vectors, and their number is what gives a pair at the threshold about ``SHARED`` common caps a code.
 
 Edges: null, empty and zero vectors and those with a null, NaN or infinite part pair with nothing, nor do vectors of
 different dimension; rows without an id can't be named and pair with nothing; rows that repeat an id are one
@@ -18,7 +19,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import lru_cache
-from statistics import NormalDist
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -27,30 +28,41 @@ from pyspark.sql import functions as F
 
 from .common import GOLD, U64, mix, saved, table
 
-THRESHOLD, CAP_LOAD, SHARED, BLOCKS, SEED = 0.9, 64, 10.0, 3, 11
-_NORMAL = NormalDist()
+THRESHOLD, CAP_LOAD, SHARED, CODES, MOST_WORDS, SEED = 0.9, 64, 2.0, 8, 2000, 11
 
 
-def _both(t: float, rho: float) -> float:
-    """The chance that two standard normal numbers of correlation rho both exceed t."""
-    x = np.linspace(t, t + 8, 4001)
-    tail = np.array([0.5 * math.erfc((t - rho * a) / math.sqrt(2 * (1 - rho * rho))) for a in x])
-    return float((np.exp(-x * x / 2) / math.sqrt(2 * math.pi) * tail).sum() * (x[1] - x[0]))
+def _tail(dimension: int, grid: int = 20_001) -> tuple[np.ndarray, np.ndarray]:
+    """(x, chance that a random unit vector's product with a fixed one exceeds x)."""
+    x = np.linspace(-1, 1, grid)
+    density = np.maximum(1 - x * x, 0) ** max((dimension - 3) / 2, 0)
+    above = np.cumsum(density[::-1])[::-1]
+    return x, above / above[0]
 
 
 @lru_cache(maxsize=64)
-def sizing(n: int, threshold: float = THRESHOLD) -> tuple[float, float]:
-    """(cap height in standard deviations, number of caps) for a table of n vectors."""
-    t = max(1.5, _NORMAL.inv_cdf(1 - min(0.06, CAP_LOAD / max(n, 1))))
-    return t, SHARED / _both(t, min(threshold, 0.9999))
+def sizing(n: int, dimension: int, threshold: float = THRESHOLD) -> tuple[float, float]:
+    """(height of a cap, number of caps of one code) for a table of n vectors of this dimension.
 
-
-@lru_cache(maxsize=8)
-def code(dimension: int, caps: float, seed: int = SEED) -> tuple[np.ndarray, list[np.ndarray]]:
+    A cap's height leaves it about ``CAP_LOAD`` of n random vectors (but is at most 0.8 of the threshold); so many caps give a pair at the threshold ``SHARED``
+    common ones in each of the ``CODES`` codes.
+    """
+    x, above = _tail(dimension)
+    rho = min(threshold, 0.9999)
+    height = min(float(x[min(int((above > min(0.06, CAP_LOAD / max(n, 1))).sum()), len(x) - 2)]), 0.8 * rho)
+    inside = np.linspace(height, 1, 2001)[:-1]
+    weight = np.interp(inside, x, above) - np.interp(np.append(inside[1:], 1.0), x, above)
+    need = (height - rho * inside) / np.sqrt((1 - rho * rho) * (1 - inside * inside))
+    beside, rest = _tail(max(2, dimension - 1))
+    both = float((weight * np.interp(need, beside, rest, left=1.0, right=0.0)).sum())
+    return height, SHARED / max(both, 1e-18)
+
+
+@lru_cache(maxsize=32)
+def code(dimension: int, caps: float, seed: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """A rotation, and the code words of each block, each scaled so that a direction has length 1."""
     rng = np.random.default_rng([seed, dimension])
     rotation = np.linalg.qr(rng.standard_normal((dimension, dimension)))[0]
-    blocks = min(BLOCKS, dimension)
+    blocks = min(max(2, math.ceil(math.log(caps) / math.log(MOST_WORDS))), dimension)
     each = max(2, math.ceil(caps ** (1 / blocks)))
     out = []
     for part in np.array_split(np.arange(dimension), blocks):
@@ -60,14 +72,13 @@ def code(dimension: int, caps: float, seed: int = SEED) -> tuple[np.ndarray, lis
 
 
 def list_decode(vectors: np.ndarray, height: float, caps: float, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
-    """(vector, direction) for all directions whose product with the unit vector exceeds height / sqrt(dimension).
+    """(vector, direction) for all directions whose product with the unit vector exceeds ``height``.
 
     A vector of which no direction exceeds it goes to its single best direction.
     """
     n, dimension = vectors.shape
     rotation, words = code(dimension, caps, seed)
     turned = vectors @ rotation
-    alpha = height / math.sqrt(dimension)
     at, scores = 0, []
     for w in words:
         scores.append(turned[:, at : at + w.shape[1]] @ w.T)
@@ -77,28 +88,34 @@ def list_decode(vectors: np.ndarray, height: float, caps: float, seed: int = SEE
     for k in range(len(words) - 1, -1, -1):
         rest[k] = rest[k + 1] + best[k]
     who, total, path = np.arange(n), np.zeros(n), np.zeros(n, dtype=np.int64)
-    goal = np.minimum(alpha, rest[0] - 1e-12)  # the best direction is always taken
+    goal = np.minimum(height, rest[0] - 1e-12)  # the best direction is always taken
     for k, s in enumerate(scores):
-        lifted = total[:, None] + s[who]
-        row, word = np.nonzero(lifted + rest[k + 1][who][:, None] >= goal[who][:, None])
-        total, path, who = lifted[row, word], path[row] * s.shape[1] + word, who[row]
+        parts, step = [], max(1, 8_000_000 // s.shape[1])
+        for i in range(0, len(who), step):
+            w, t, p = who[i : i + step], total[i : i + step], path[i : i + step]
+            lifted = t[:, None] + s[w]
+            row, word = np.nonzero(lifted + rest[k + 1][w][:, None] >= goal[w][:, None])
+            parts.append((lifted[row, word], p[row] * s.shape[1] + word, w[row]))
+        if parts:
+            total, path, who = map(np.concatenate, zip(*parts))
     return who, path
 
 
-def _filtered(height: float, caps: float, seed: int, partitions: int):
+def _filtered(n: int, threshold: float, seed: int, partitions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             node = np.asarray(batch.column(0))
             sizes = np.asarray(batch.column(1).value_lengths())
             flat = np.asarray(batch.column(1).flatten(), dtype=np.float32)
             ends = np.cumsum(sizes)
-            for dimension in np.unique(sizes):
+            for dimension in map(int, np.unique(sizes)):
                 rows = np.flatnonzero(sizes == dimension)
-                for at in range(0, len(rows), 2000):
+                height, caps = sizing(n, dimension, threshold)
+                for at, k in product(range(0, len(rows), 2000), range(CODES)):
                     part = rows[at : at + 2000]
                     x = flat[(ends[part] - dimension)[:, None] + np.arange(dimension)]
-                    who, path = list_decode(x.astype(float), height, caps, seed)
-                    cap = mix(path.astype(U64) * GOLD + U64(dimension)).view(np.int64)
+                    who, path = list_decode(x.astype(float), height, caps, seed + k)
+                    cap = mix(mix(path.astype(U64) + U64(k) * GOLD) + U64(dimension)).view(np.int64)
                     for i in range(0, len(who), 20_000):
                         w, c = who[i : i + 20_000], cap[i : i + 20_000]
                         yield pa.RecordBatch.from_arrays([pa.array((c.view(U64) % U64(partitions)).astype(np.int32)), pa.array(c), pa.array(node[part[w]]), pa.array([r.tobytes() for r in x[w]], pa.binary())], names=["part", "cap", "node", "vector"])
@@ -160,9 +177,8 @@ def similar_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
     members = stored.select("id", "node").distinct()
     nodes = stored.select("node", "u").dropDuplicates(["node"])
     n = stored.count()
-    height, caps = sizing(n, threshold)
     parts = max(8, math.ceil(n * 40 / 400_000))
-    spread = nodes.mapInArrow(_filtered(height, caps, seed, parts), "part int, cap long, node long, vector binary")
+    spread = nodes.mapInArrow(_filtered(n, threshold, seed, parts), "part int, cap long, node long, vector binary")
     by_cap = spread.repartition(parts, "cap").sortWithinPartitions("cap")
     close = saved(by_cap.mapInArrow(_compared(threshold), "x long, y long, cosine double").groupBy("x", "y").agg(F.max("cosine").alias("cosine")), "close")
     a, b = members.select(F.col("node").alias("x"), F.col("id").alias("p")), members.select(F.col("node").alias("y"), F.col("id").alias("q"))
@@ -176,3 +192,12 @@ def similar_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "
 
 def op6_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES = {
+    "op6_embedding_caps": """
+        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
+        p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e))
+        SELECT vec_a, vec_b, round(c, 4) AS cosine FROM p WHERE c >= 0.9
+    """,
+}
