@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .checksums import inn_valid, snils_valid
-from .text import _col, cut, digits_only, find_spans, resolve, splice
+from .text import _col, cut, digits_only, find_spans, let, resolve, splice
 
 _FLAGS = "(?iuU)"
 _SEP, _REQ = r"[\s \-–—().]*", r"[\s \-–—()./]+"
@@ -75,27 +75,28 @@ _LENGTHS = {"PASSPORT": (10, 10), "DRIVER_LICENSE": (10, 10), "OMS": (10, 16), "
 
 
 def normal_phone(value: Column) -> Column:
-    d = digits_only(value)
-    return F.when(d.rlike(r"^9\d{9}$"), F.concat(F.lit("+7"), d)).when(d.rlike(r"^[78]9\d{9}$"), F.concat(F.lit("+7"), F.substring(d, 2, 10)))
+    return let(digits_only(value), lambda d: F.when(d.rlike(r"^[78]?9\d{9}$"), F.concat(F.lit("+7"), F.right(d, F.lit(10)))))
 
 
 def normal_birth_date(value: Column, as_of: date | None = None) -> Column:
     """dd.MM.yyyy of a calendar date from 1900 to the year of ``as_of`` (today where none is given), else null."""
-    groups, d = F.regexp_extract_all(value, F.lit(r"(\d+)"), 1), digits_only(value)
-    parted = F.size(groups) >= 3
-    whole = F.length(d) == 8
-    day = F.when(parted, F.get(groups, 0)).when(whole, F.substring(d, 1, 2))
-    month = F.when(parted, F.get(groups, 1)).when(whole, F.substring(d, 3, 2))
-    year = F.when(parted, F.get(groups, 2)).when(whole, F.substring(d, 5, 4))
     last = F.lit(as_of.year) if as_of else F.year(F.current_date())
-    text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
-    good = (F.length(year) <= 4) & (F.length(month) <= 2) & (F.length(day) <= 2) & year.try_cast("int").between(F.lit(1900), last)
-    return F.when(good, F.date_format(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), "dd.MM.yyyy"))
+
+    def parts(v: Column) -> Column:
+        groups = F.regexp_extract_all(v, F.lit(r"(\d+)"), 1)
+        return F.when(F.size(groups) >= 3, groups).when(F.length(digits_only(v)) == 8, F.regexp_extract_all(F.regexp_replace(digits_only(v), r"^(..)(..)(....)$", "$1 $2 $3"), F.lit(r"(\d+)"), 1))
+
+    def written(p: Column) -> Column:
+        day, month, year = (F.get(p, F.lit(i)) for i in range(3))
+        good = (F.length(year) <= 4) & (F.length(month) <= 2) & (F.length(day) <= 2) & year.try_cast("int").between(F.lit(1900), last)
+        text = F.concat_ws("-", F.lpad(year, 4, "0"), F.lpad(month, 2, "0"), F.lpad(day, 2, "0"))
+        return F.when(good, F.date_format(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")), "dd.MM.yyyy"))
+
+    return let(let(value, parts), written)
 
 
 def normal_age(value: Column) -> Column:
-    n = digits_only(value).try_cast("int")
-    return F.when(n.between(0, 120), n.cast("string"))
+    return let(digits_only(value).try_cast("int"), lambda n: F.when(n.between(0, 120), n.cast("string")))
 
 
 def normal_value(kind: str, value: Column, as_of: date | None = None) -> Column:
@@ -106,37 +107,46 @@ def normal_value(kind: str, value: Column, as_of: date | None = None) -> Column:
     if kind == "AGE":
         return normal_age(value)
     low, high = _LENGTHS[kind]
-    d = digits_only(value)
-    return F.when(F.length(d).between(low, high), d)
+    return let(digits_only(value), lambda d: F.when(F.length(d).between(low, high), d))
 
 
 def normalize_pii(kind: Column, value: Column, as_of: date | None = None) -> Column:
     """The normal form where the type is a column."""
-    out = F.lit(None).cast("string")
-    for name in ("PHONE", "DATE_BIRTH", "AGE", *_LENGTHS):
-        out = F.when(kind == name, normal_value(name, value, as_of)).otherwise(out)
+    branches = [(kind == name, normal_value(name, value, as_of)) for name in ("PHONE", "DATE_BIRTH", "AGE", *_LENGTHS)]
+    out = F.when(*branches[0])
+    for branch in branches[1:]:
+        out = out.when(*branch)
     return out
 
 
 def _candidates(text: Column, rule: Rule, order: int, as_of: date | None) -> Column:
     valid = {"SNILS": snils_valid, "INN": inn_valid}.get(rule.type)
 
+    def trimmed(s: Column) -> Column:
+        return F.struct(s["start"].alias("start"), F.regexp_replace(s["raw"], r"(?U)\s+$", "").alias("raw"))
+
+    def looked(s: Column) -> Column:
+        end = s["start"] + F.length(s["raw"])
+        return F.struct(
+            s["start"].alias("start"), s["raw"].alias("raw"), end.alias("end"), normal_value(rule.type, s["raw"], as_of).alias("normal"), cut(text, s["start"] - rule.before, end + rule.after).alias("scope"),
+        )
+
+    def judged(s: Column) -> Column:
+        checked = valid(s["normal"]) if valid else F.lit(None).cast("boolean")
+        return F.struct(s["start"].alias("start"), s["raw"].alias("raw"), s["end"].alias("end"), s["normal"].alias("normal"), s["scope"].alias("scope"), s["scope"].rlike(_FLAGS + rule.positive).alias("hit"), checked.alias("checked"))
+
     def candidate(s: Column) -> Column:
-        raw = F.regexp_replace(s["raw"], r"(?U)\s+$", "")
-        end = s["start"] + F.length(raw)
-        scope = cut(text, s["start"] - rule.before, end + rule.after)
-        normal = normal_value(rule.type, raw, as_of)
-        hit = scope.rlike(_FLAGS + rule.positive)
-        checked = valid(normal) if valid else F.lit(None).cast("boolean")
-        score = F.lit(rule.base) + F.when(hit, 0.12).otherwise(0.0) + F.when(checked, 0.08).when(~checked, -0.03).otherwise(0.0)
+        score = F.lit(rule.base) + F.when(s["hit"], 0.12).otherwise(0.0) + F.when(s["checked"], 0.08).when(~s["checked"], -0.03).otherwise(0.0)
         return F.struct(
-            F.lit(-rule.priority).alias("rank"), (-F.least(F.greatest(score, F.lit(0.01)), F.lit(0.99))).alias("doubt"), (-F.length(raw)).alias("shortness"), s["start"].alias("start"), F.lit(order).alias("order"), end.alias("end"),
-            F.lit(rule.type).alias("type"), raw.alias("value"), normal.alias("normalized"), F.lit(rule.name).alias("rule"), scope.alias("context"),
-            F.length(digits_only(normal)).alias("length"), checked.alias("checksum_valid"), hit.alias("in_context"), scope.rlike(_FLAGS + rule.negative).alias("against"),
+            F.lit(-rule.priority).alias("rank"), (-F.least(F.greatest(score, F.lit(0.01)), F.lit(0.99))).alias("doubt"), (-F.length(s["raw"])).alias("shortness"), s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"),
+            F.lit(rule.type).alias("type"), s["raw"].alias("value"), s["normal"].alias("normalized"), F.lit(rule.name).alias("rule"), s["scope"].alias("context"),
+            F.length(digits_only(s["normal"])).alias("length"), s["checked"].alias("checksum_valid"), s["hit"].alias("in_context"),
         )
 
-    found = F.transform(find_spans(text, rule.pattern), candidate)
-    return F.filter(found, lambda c: c["normalized"].isNotNull() & ~c["against"] & (c["in_context"] | F.lit(not rule.required)))
+    # each step names what the next ones use, so that nothing is computed twice
+    seen = F.filter(F.transform(F.transform(find_spans(text, rule.pattern), trimmed), looked), lambda s: s["normal"].isNotNull() & ~s["scope"].rlike(_FLAGS + rule.negative))
+    found = F.transform(F.transform(seen, judged), candidate)
+    return F.filter(found, lambda c: c["in_context"]) if rule.required else found
 
 
 def pii_candidates(text: Column | str, rules: list[Rule] | None = None, as_of: date | None = None) -> Column:

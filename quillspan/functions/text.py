@@ -15,9 +15,9 @@ def _col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def when_any(items: Column, found: Column) -> Column:
-    """An empty array of the type of ``items`` if ``found`` is false."""
-    return F.filter(items, lambda _: found)
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def find_spans(text: Column | str, pattern: str) -> Column:
