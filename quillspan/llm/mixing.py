@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 TEMPERATURE, TOLERANCE, MOST_STEPS = 0.7, 1e-9, 60
+#: Tilts of so many sources are broadcast (two numbers each); of more, they are joined by exchange.
+BROADCAST_SOURCES = 20_000
 _SOURCE, _TOKENS, _RATE, _COPIES = "__source", "__tokens", "__rate", "__copies"
 
 
@@ -41,6 +43,12 @@ def target_tokens(totals: dict[str | None, int], targets: dict[str | None, float
     return {s: whole * r / norm if norm else 0.0 for s, r in raw.items()}
 
 
+def by_source(spark: SparkSession, values: dict[str | None, float], schema: str) -> DataFrame:
+    """One row a source, marked for broadcast if its checked size allows."""
+    rows = spark.createDataFrame([(s, float(x)) for s, x in values.items()], schema)
+    return F.broadcast(rows) if len(values) <= BROADCAST_SOURCES else rows
+
+
 def balance(cells: DataFrame, targets: dict[str | None, float] | None = None, temperature: float = TEMPERATURE) -> tuple[dict[str | None, float], float, float, float]:
     """(a by source, b, mean, deviation) from cells (source, tokens, n): the tilts, and what standardises log tokens.
 
@@ -62,8 +70,8 @@ def balance(cells: DataFrame, targets: dict[str | None, float] | None = None, te
     z = (log - F.lit(mean)) / F.lit(deviation)
 
     def moments(a: dict, b: float) -> dict:
-        tilts = spark.createDataFrame([(s, a[s]) for s in live], "source string, a double")
-        joined = cells.withColumn("z", z).join(F.broadcast(tilts), cells.source.eqNullSafe(tilts.source)).drop(tilts.source)
+        tilts = by_source(spark, {s: a[s] for s in live}, "source string, a double")
+        joined = cells.withColumn("z", z).join(tilts, cells.source.eqNullSafe(tilts.source)).drop(tilts.source)
         w = weight * F.exp(F.col("a") + F.lit(b) * F.col("z"))
         return {r.source: (r.m, r.mz, r.mzz) for r in joined.groupBy("source").agg(F.sum(w).alias("m"), F.sum(w * F.col("z")).alias("mz"), F.sum(w * F.col("z") * F.col("z")).alias("mzz")).collect()}
 
@@ -93,12 +101,11 @@ def balance(cells: DataFrame, targets: dict[str | None, float] | None = None, te
 
 
 def mixed_rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", targets: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, seed: int = 5) -> DataFrame:
-    """docs with __source, __tokens, __rate and __copies. Texts are read twice and never shuffled."""
+    """docs with __source, __tokens, __rate and __copies. Texts are read twice and, up to ``BROADCAST_SOURCES`` sources, never shuffled."""
     counted = docs.withColumns({_SOURCE: F.col(source_col).cast("string"), _TOKENS: token_number(F.col(text_col))})
     cells = saved(counted.where(F.col(_TOKENS) > 0).groupBy(F.col(_SOURCE).alias("source"), F.col(_TOKENS).alias("tokens")).agg(F.count("*").alias("n")), "cells")
     a, b, mean, deviation = balance(cells, targets, temperature)
-    # one row a source: Spark broadcasts it while it is small, and joins by exchange when sources are many
-    tilts = docs.sparkSession.createDataFrame([(s, float(x)) for s, x in a.items()], "__key string, __a double")
+    tilts = by_source(docs.sparkSession, a, "__key string, __a double")
     z = (F.log(F.col(_TOKENS).cast("double")) - F.lit(mean)) / F.lit(deviation)
     joined = counted.join(tilts, F.col(_SOURCE).eqNullSafe(F.col("__key")), "left")
     rate = F.when(F.col(_TOKENS) == 0, F.lit(1.0)).otherwise(F.exp(F.col("__a") + F.lit(b) * z))
