@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -18,6 +18,25 @@ U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
 #: Characters that a Python worker turns into arrays at a time; one document is never divided.
 SLICE_CHARS = 1_000_000
+#: Rows of whole texts in one Arrow batch.
+TEXT_ROWS = 1000
+
+
+_held: dict[str, Callable[[], None]] = {}
+
+
+def claim(name: str, release: Callable[[], None]) -> None:
+    """Called where a Python worker begins an operator's task: what other operators keep in this worker is let go."""
+    for other in [x for x in _held if x != name]:
+        _held.pop(other)()
+    _held[name] = release
+
+
+def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
+    """Lets fewer rows than Spark's default travel to Python at a time, since these are whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
+        spark.conf.set(name, str(rows))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

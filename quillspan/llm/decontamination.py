@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLD, U64, folded, mix, slices, table
+from .common import GOLD, U64, claim, folded, mix, slices, table, text_batches
 
 Q, EDIT_RATE = 10, 0.08
 #: Signs of benchmark text in one broadcast index; a larger benchmark is searched in several passes, each of this size.
@@ -192,6 +192,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The items' index is broadcast in parts of at most ``INDEX_CHARS`` signs, one pass over the documents each.
     """
     spark = docs.sparkSession
+    text_batches(spark)
     schema = f"{id_col} long, item_id long, edits int, budget int"
     out, ids, texts, size = None, [], [], 0
 
@@ -199,6 +200,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         shared = spark.sparkContext.broadcast(build_index(ids, texts, q, rate))
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("decontamination", _searchers.clear)
             index: Index = shared.value
             if index.key not in _searchers:
                 _searchers.clear()
@@ -241,12 +243,14 @@ def flagged(texts: pd.Series, index: Index) -> pd.Series:
 def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text", q: int = Q, rate: float = EDIT_RATE) -> DataFrame:
     """The rows of docs that hold no passage of the benchmark, all columns kept; a filter, with no shuffle."""
     spark, texts, size, conditions = docs.sparkSession, [], 0, []
+    text_batches(spark)
 
     def clean():
         shared = spark.sparkContext.broadcast(build_index([None] * len(texts), texts, q, rate))
 
         @F.pandas_udf("boolean")
         def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            claim("decontamination", _searchers.clear)
             for batch in batches:
                 yield flagged(batch, shared.value)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GOLD, U64, folded, mix, slices, table
+from .common import GOLD, U64, claim, folded, mix, slices, table, text_batches
 
 ORDER, SAMPLE_DOCS, FALSE_REJECTION = 5, 800, 0.002
 #: Languages of which models are held at once; the sample, and so the models, are bounded by it.
@@ -246,13 +246,14 @@ _scorers: dict[str, Scorer] = {}
 
 def _scored(broadcast):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        claim("language_id", _scorers.clear)
         model: Model = broadcast.value
         if model.key not in _scorers:
             _scorers.clear()
             _scorers[model.key] = Scorer(model)
         for batch in batches:
             texts = pa.array(batch, pa.string(), from_pandas=True)
-            parts = [_decided(model, *_scorers[model.key].cross_entropies(batch.iloc[at:to].where(batch.iloc[at:to].notna(), None).tolist())) for at, to in slices(texts, max(20_000, 4_000_000 // max(1, len(model.languages))))]
+            parts = [_decided(model, *_scorers[model.key].cross_entropies(batch.iloc[at:to].where(batch.iloc[at:to].notna(), None).tolist())) for at, to in slices(texts, max(20_000, 1_000_000 // max(1, len(model.languages))))]
             yield pd.concat(parts, ignore_index=True) if parts else _decided(model, np.zeros((0, len(model.languages))), np.zeros(0))
 
     return score
@@ -278,6 +279,7 @@ def _decided(model: Model, ce: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with one more column ``language_id`` (struct of SCHEMA). Map-only; the model is a few MB, bounded by the sample."""
+    text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     score = F.pandas_udf(_typed(_scored(shared)), SCHEMA)
     return docs.withColumn("language_id", score(F.col(text_col)))

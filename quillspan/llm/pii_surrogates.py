@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, table, text_batches
 
 #: Set your own; who has the key can tell which surrogate belongs to a known entity.
 DEFAULT_KEY = b"quillspan surrogates"
@@ -384,6 +384,7 @@ def with_surrogates(docs: DataFrame, text_col: str = "text", key: bytes = DEFAUL
 
     The corpus' texts are read twice and don't move, unless the entities that drew again are too many to broadcast.
     """
+    text_batches(docs.sparkSession)
     found = saved(mentions(docs, text_col), "mentions")
     again = saved(assigned(found, key).where("attempt > 0").select("entity", "attempt"), "again")
     rows = docs

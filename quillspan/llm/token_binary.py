@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import claim, slices, table, text_batches
 from .vocabulary import DEFAULT_VOCABULARY, PATTERN, PieceCache, digest, encoder_of, ranks_of, read_vocabulary
 
 #: Documents of which the dictionary is trained at most, and its size: a bounded sample, drawn by hash from all rows.
@@ -38,7 +38,7 @@ def id_type(raw: bytes) -> np.dtype:
 @lru_cache(maxsize=2)
 def _serializer(raw: bytes, pattern: str) -> PieceCache:
     encode, kind = encoder_of(raw, pattern).encode_ordinary, id_type(raw)
-    return PieceCache(lambda piece: np.array(encode(piece), dtype=kind).tobytes(), most=600_000)
+    return PieceCache(lambda piece: np.array(encode(piece), dtype=kind).tobytes(), most=300_000)
 
 
 def serialized(text: str, raw: bytes, pattern: str = PATTERN) -> bytes:
@@ -58,8 +58,10 @@ def train_dictionary(samples: list[bytes], size: int = DICTIONARY_BYTES) -> byte
 
 
 def dictionary_sample(docs: DataFrame, text_col: str, n: int) -> DataFrame:
-    """The n whole texts of the lowest hashes: a top-k, so no more than these texts reach the driver."""
-    return docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("t")).orderBy("h", "t").limit(n)
+    """The n whole texts of the lowest hashes. Hashes alone are ranked first, so that only about n texts move at all."""
+    rows = docs.where(F.col(text_col).isNotNull()).select(F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("t"))
+    bound = rows.select("h").orderBy("h").limit(n).agg(F.max("h")).first()[0]
+    return rows.where(F.col("h") <= F.lit(bound)).orderBy("h", "t").limit(n)
 
 
 def _compressor(dictionary: bytes):
@@ -77,6 +79,7 @@ def read_record(payload: bytes, dictionary: bytes, dict_hash: str, kind: str = "
 def token_binary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, pattern: str = PATTERN, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One record a row, and one row with the dictionary. Map-only: a shard is what one task writes."""
     spark = docs.sparkSession
+    text_batches(spark)
     raw_bytes = read_vocabulary(vocabulary)
     sample = [r.t for r in dictionary_sample(docs, text_col, sample_docs).toLocalIterator()]
     dictionary = train_dictionary([serialized(t, raw_bytes, pattern) for t in sample])
@@ -84,6 +87,7 @@ def token_binary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shared = spark.sparkContext.broadcast((raw_bytes, dictionary))
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("token_binary", _serializer.cache_clear)
         raw, data = shared.value
         compress, width, shard, offset = _compressor(data).compress, id_type(raw).itemsize, TaskContext.get().partitionId(), 0
         for batch in batches:
