@@ -281,7 +281,7 @@ def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
     """docs with one more column ``language_id`` (struct of SCHEMA). Map-only; the model is a few MB, bounded by the sample."""
     text_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    score = F.pandas_udf(_typed(_scored(shared)), SCHEMA)
+    score = F.pandas_udf(_typed(_scored(shared)), SCHEMA).asNondeterministic()  # else a filter on it scores every text twice
     return docs.withColumn("language_id", score(F.col(text_col)))
 
 
