@@ -341,6 +341,46 @@ def with_digits_text(text: str, config: NumberConfig = NumberConfig()) -> str:
     return "".join(parts) + text[at:]
 
 
+def digit_segments(text: str, config: NumberConfig = NumberConfig(), most: int = 8) -> list[str]:
+    """The digits of the numbers in a text: from each word on the longest run of at most ``most`` number words that is one number."""
+    toks = [t for t in tokenize(text) if t.form not in ("плюс", "плюсом")]
+    nums = [_number_of(t, config) for t in toks]
+    out, i = [], 0
+    while i < len(toks):
+        to = i
+        while to < len(toks) and to < i + most and toks[to].kind != "punct" and nums[to]:
+            to += 1
+        for end in range(to, i, -1):
+            got = _parsed(nums[i:end], config)
+            if got and got[1] == end - i:
+                out.append(got[0].value)
+                i = end
+                break
+        else:
+            i += 1
+    return [d for v in out if (d := "".join(c for c in v if c.isdigit()))]
+
+
+_MONTHS = {w: n for n, pair in enumerate("января январь,февраля февраль,марта март,апреля апрель,мая май,июня июнь,июля июль,августа август,сентября сентябрь,октября октябрь,ноября ноябрь,декабря декабрь".split(","), 1) for w in pair.split()}
+#: Beginnings of the words of a day, cardinal or ordinal; longer ones first.
+_UNITS = [(w, n) for n, ws in enumerate("перв один,втор два,трет три,четверт четыре,пят,шест,седьм семь,восьм восемь,девят,десят".split(","), 1) for w in ws.split()]
+_DAYS = [(f"двадцать {w}", 20 + n) for w, n in _UNITS if n < 10] + [("тридцать перв", 31), ("тридцать один", 31), ("тридцат", 30), ("двадцат", 20)]
+_DAYS += [(f"{w}надцат", n) for n, w in enumerate("один две три четыр пят шест сем восем девят".split(), 11)] + _UNITS
+
+
+def spoken_date(text: str) -> str | None:
+    """dd.MM.yyyy of a date with the month's name, whether or not the calendar has it; empty if day or year can't be read, null without a month."""
+    plain = [t.text.lower().replace("ё", "е") for t in tokenize(text) if t.kind == "word"]
+    words = [t.form for t in tokenize(text) if t.kind == "word"]
+    at = next((i for i, w in enumerate(words) if w in _MONTHS), None)
+    if at is None:
+        return None
+    said = " ".join(plain[:at])  # not the canonical forms, in which ordinals are cardinals
+    day = next((n for w, n in _DAYS if said.startswith(w)), None)
+    year = digit_segments(" ".join(words[at + 1 :]))
+    return f"{day:02d}.{_MONTHS[words[at]]:02d}.{int(year[0]):04d}" if day and len(year) == 1 else ""
+
+
 # ---------------------------------------------------------------- columns
 
 SPAN_TYPE = "array<struct<value:string,start:int,end:int,raw:string,normalized:string,kind:string,status:string,confidence:double,candidates:array<struct<value:string,kind:string,confidence:double>>>>"

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.pii import find_pii, normalize_pii
-from ..functions.spoken import with_digits_text
-from ..functions.text import digits_only, single_spaced
+from ..functions.pii import find_pii, normal_birth_date, normalize_pii
+from ..functions.spoken import digit_segments, spoken_date
+from ..functions.text import single_spaced
 from .spans import ratio
 
 #: Labels of annotated transcripts and the types that they stand for.
@@ -22,18 +22,18 @@ def gold_rows(records: DataFrame) -> DataFrame:
     return rows.select("id", known[F.col("a.type")].alias("type"), F.col("a.start").alias("start"), F.col("a.end").alias("end"), F.col("a.text").alias("text")).where("type IS NOT NULL")
 
 
-def evaluation_key(kind: Column, text: Column, normalized_text: Column) -> Column:
-    """The normal form of the value; else its digits; else the text in lower case."""
-    canon = F.coalesce(normalize_pii(kind, normalized_text), normalize_pii(kind, text))
-    d = digits_only(normalized_text)
-    return F.coalesce(canon, F.when(d != "", F.concat(F.lit("digits:"), d)), F.concat(F.lit("text:"), F.lower(single_spaced(text))))
+def evaluation_key(kind: Column, text: Column, digits: Column, date: Column) -> Column:
+    """The normal form of the value; else its digits; else the text in lower case. A date with a month's name counts only as ``date``."""
+    canon = F.coalesce(normalize_pii(kind, digits), normalize_pii(kind, text))
+    canon = F.when((kind == "DATE_BIRTH") & date.isNotNull(), normal_birth_date(date)).otherwise(canon)
+    return F.coalesce(canon, F.when(digits != "", F.concat(F.lit("digits:"), digits)), F.concat(F.lit("text:"), F.lower(single_spaced(text))))
 
 
 def spoken_key(gold: DataFrame) -> DataFrame:
-    """gold with ``key``. Number words are parsed once for each distinct text."""
-    digits = F.udf(lambda t: None if t is None else with_digits_text(t), "string", useArrow=True)
-    distinct = gold.select("text").distinct().withColumn("normalized_text", digits("text"))
-    return gold.join(distinct, "text").withColumn("key", evaluation_key(F.col("type"), F.col("text"), F.col("normalized_text")))
+    """gold with ``digits`` and ``key``. Number words are parsed once for each distinct text."""
+    parse = F.udf(lambda t: None if t is None else ("".join(digit_segments(t)), spoken_date(t)), "digits string, date string", useArrow=True)
+    distinct = gold.select("text").distinct().withColumn("said", parse("text")).select("text", "said.*")
+    return gold.join(distinct, "text").withColumn("key", evaluation_key(F.col("type"), F.col("text"), F.col("digits"), F.col("date"))).drop("date")
 
 
 def multiset_counts(gold: DataFrame, pred: DataFrame, rollup: bool = True) -> DataFrame:
@@ -90,3 +90,24 @@ def report(counts: DataFrame) -> DataFrame:
     """One row with the scores by type as JSON, types in order, null as ``all``."""
     rows = counts.select(F.struct(F.coalesce("type", F.lit("all")).alias("type"), "tp", "fp", "fn", ratio(F.col("tp"), F.col("tp") + F.col("fp")).alias("precision"), ratio(F.col("tp"), F.col("tp") + F.col("fn")).alias("recall")).alias("r"))
     return rows.agg(F.to_json(F.array_sort(F.collect_list("r"))).alias("report"))
+
+
+def whole_report(hard: DataFrame, soft: DataFrame, negatives: DataFrame, found: DataFrame) -> DataFrame:
+    """One row with counts, scores and counts by type of both matchings, and the harmless texts, as JSON."""
+    zero = F.lit(0).cast("long")
+    total, wrong = F.coalesce(F.sum("n"), zero), F.coalesce(F.sum("false_positives"), zero)
+    by_category = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("false_positives") > 0, F.struct("category", "false_positives")))))
+    clean = negatives.agg(total.alias("total"), wrong.alias("neg_fp"), by_category.alias("by_category")).withColumn("tn", F.col("total") - F.col("neg_fp"))
+
+    def side(counts: DataFrame, name: str) -> DataFrame:
+        in_all = [F.coalesce(F.max(F.when(F.col("type").isNull(), F.col(c))), zero).alias(c) for c in ("tp", "fp", "fn")]
+        per_type = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("type").isNotNull(), F.struct("type", F.struct("tp", "fp", "fn"))))))
+        scored = with_specificity(counts.agg(*in_all, per_type.alias("per_type")).crossJoin(clean))
+        return scored.select(F.struct(
+            F.struct("tp", "fp", "fn", "tn").alias("counts"), F.struct("precision", "recall", "f1", "accuracy", "specificity").alias("metrics"),
+            (F.col("tp") + F.col("fn")).alias("references"), (F.col("tp") + F.col("fp")).alias("predictions"), "per_type",
+        ).alias(name))
+
+    harmless = F.struct("total", F.col("neg_fp").alias("false_positives"), ratio(F.col("tn"), F.col("total")).alias("specificity"), F.col("by_category").alias("false_positives_by_category"))
+    rows = found.agg(F.count("*").alias("records")).crossJoin(clean.select(harmless.alias("hard_negatives"))).crossJoin(side(hard, "hard")).crossJoin(side(soft, "soft"))
+    return rows.select(F.to_json(F.struct("records", "hard_negatives", "hard", "soft")).alias("report"))

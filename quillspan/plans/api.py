@@ -42,7 +42,7 @@ def evaluate(records: DataFrame, gap: int = evaluation.SOFT_GAP) -> dict[str, Da
     gold = stored(evaluation.spoken_key(evaluation.gold_rows(records)), "gold")
     found = stored(anonymize(records.select("id", F.col("value").alias("text"))), "found")
     pred = found.select("id", F.explode("pii").alias("m")).select("id", "m.type", "m.start", "m.end", F.col("m.normalized").alias("key"), F.regexp_replace("m.value", r"\D", "").alias("digits"), F.col("m.normalized").alias("normalized"))
-    known = gold.withColumns({"normalized": F.when(~F.col("key").rlike("^(digits|text):"), F.col("key")), "digits": F.regexp_replace("normalized_text", r"\D", "")})
+    known = gold.withColumn("normalized", F.when(~F.col("key").rlike("^(digits|text):"), F.col("key")))
     soft = evaluation.soft_counts(evaluation.soft_keys(known, gap), evaluation.soft_keys(pred, gap))
     return {"hard": evaluation.multiset_counts(gold, pred), "soft": soft, "hard_negatives": evaluation.hard_negatives(records), "found": found}
 

@@ -89,7 +89,7 @@ def evaluation_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
-    return evaluation.report(evaluate(_records(spark, sf))["hard"])
+    return evaluation.whole_report(*map(evaluate(_typed_records(spark, sf)).get, ("hard", "soft", "hard_negatives", "found")))
 
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
@@ -101,6 +101,25 @@ def _records(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("id"), F.col("text").alias("value"), F.array(note).alias("annotations"), F.array(F.struct(negative.alias("text"), F.col("c_mktsegment").alias("category"))).alias("hard_negatives"))
 
 
+_ORDINALS = "первое второе третье четвёртое пятое шестое седьмое восьмое девятое десятое одиннадцатое двенадцатое тринадцатое четырнадцатое пятнадцатое шестнадцатое семнадцатое восемнадцатое девятнадцатое двадцатое".split()
+_ORDINALS += [f"двадцать {w}" for w in _ORDINALS[:9]]
+
+
+def _typed_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Annotated records of all ten types, by key: the number in words after the words of its carrier; of birth dates every other one with the month's name."""
+    said = _t(spark, sf, "customer").selectExpr("c_custkey", "c_mktsegment", f"element_at(array({', '.join(_CARRIERS.values())}), cast(c_custkey % {len(_CARRIERS)} as int) + 1) AS t")
+    kind = F.element_at(F.array(*map(F.lit, _CARRIERS)), (F.col("c_custkey") % len(_CARRIERS)).cast("int") + 1)
+    number = F.regexp_replace(F.regexp_extract("t", r"\d[\d. а-я]*$", 0), r"\D", "")
+    lead = F.regexp_extract("t", r"^\D+", 0)
+    day, month, year = (F.substring(number, a, n).try_cast("int") for a, n in ((1, 2), (3, 2), (5, 4)))
+    named = F.concat_ws(" ", F.element_at(F.array(*map(F.lit, _ORDINALS)), day), F.element_at(F.array(*map(F.lit, generate.MONTHS)), month), generate.number_words(year))
+    words = F.when((kind == "DATE_BIRTH") & (F.floor(F.col("c_custkey") / len(_CARRIERS)) % 2 == 0), named).when(kind == "AGE", generate.number_words(number)).otherwise(generate.digits_words(number))
+    label = F.create_map(*[F.lit(x) for k, v in evaluation.GOLD_TYPES.items() for x in (v, k)])[kind]
+    note = F.struct(F.length(lead).alias("start"), (F.length(lead) + F.length(words)).alias("end"), label.alias("type"), words.alias("text"))
+    records = _records(spark, sf).select("id", "hard_negatives")
+    return said.select(F.col("c_custkey").alias("id"), F.concat(lead, words).alias("value"), F.array(note).alias("annotations")).join(records, "id")
+
+
 # ---------------------------------------------------------------- rules and normal forms
 
 _CARRIERS = {

@@ -1,5 +1,6 @@
 """Text, numbers, rules and spans on small cases."""
 
+import json
 from datetime import date
 
 import pytest
@@ -70,6 +71,20 @@ def test_evaluation(spark):
     assert got["hard_negatives"].first().false_positives == 0 and '"tp":1' in evaluation.report(got["hard"]).first().report
 
 
+def test_evaluation_of_spoken_dates_and_whole_report(spark):
+    said = ["двенадцатое мая тысяча девятьсот восемьдесят второго", "тридцать первое апреля тысяча девятьсот восемьдесят второго", "двадцать девятое февраля две тысячи четвёртого года", "двенадцать ноль пять"]
+    assert [spoken.spoken_date(t) for t in said] == ["12.05.1982", "31.04.1982", "29.02.2004", None]
+    assert [spoken.spoken_date(f"{d} мая две тысячи один")[:2] for d in ("двадцать второе", "двадцатое", "два", "тринадцатое", "тридцать один", "третьего")] == ["22", "20", "02", "13", "31", "03"]
+    assert spoken.digit_segments("плюс семь, девятьсот тринадцать дробь ноль пять") == ["7", "913", "05"]
+    rows = [(i, "d", "s", "дата рождения 12.05.1982", [(14, 24, "ДАТА_РОЖДЕНИЯ", t)], [("телефон 89131234567" if i else "пульс 80", "c")]) for i, t in enumerate(said[:2])]
+    got = evaluate(spark.createDataFrame(rows, io.RECORDS))
+    assert {(r.type, r.tp, r.fp, r.fn) for r in got["hard"].collect()} == {("DATE_BIRTH", 1, 1, 1), (None, 1, 1, 1)}
+    report = json.loads(evaluation.whole_report(got["hard"], got["soft"], got["hard_negatives"], got["found"]).first().report)
+    assert report["records"] == 2 and report["hard_negatives"] == {"total": 2, "false_positives": 1, "specificity": 0.5, "false_positives_by_category": {"c": 1}}
+    assert report["hard"]["metrics"] == pytest.approx({"precision": 0.5, "recall": 0.5, "f1": 0.5, "accuracy": 0.5, "specificity": 0.5})
+    assert report["soft"]["counts"] == {"tp": 1, "fp": 1, "fn": 0, "tn": 1} and report["soft"]["per_type"] == {"DATE_BIRTH": {"tp": 1, "fp": 1, "fn": 0}}
+
+
 def test_matching_and_metrics(spark):
     schema = "case_id int, line int, begin int, end int, label string"
     gold = spark.createDataFrame([(1, 0, 0, 4, "A"), (1, 0, 3, 8, "A"), (2, 0, 0, 2, "B")], schema)
