@@ -1,7 +1,8 @@
 """Language identification by interpolated Kneser-Ney character models held in sorted hash arrays.
 
 One model of order ``ORDER`` a language is fitted on a bounded sample of labelled documents (half of
-``SAMPLE_DOCS`` a language); the other half sets the rejection thresholds. Every document is scored whole
+``SAMPLE_DOCS`` a language); the other half and as many more as ``SAMPLE_DOCS`` set the rejection thresholds, but for
+those that another language's model fits better than their label's. Every document is scored whole
 under every model; the language of the lowest cross-entropy per character wins (first in name on ties), and the
 document is rejected when that cross-entropy is above what ``1 - FALSE_REJECTION`` of held-out documents of that
 language and of such a length stay under.
@@ -196,8 +197,8 @@ def _gram_counts(order: int):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER, sample_docs: int = SAMPLE_DOCS) -> Model:
-    sample = sample_of_labelled(docs, id_col, text_col, lang_col, sample_docs).persist()
-    odd = F.col("rank") % 2 == 1  # odd ranks train, even ones calibrate, so that a language of few documents has both
+    sample = sample_of_labelled(docs, id_col, text_col, lang_col, 2 * sample_docs).persist()
+    odd = (F.col("rank") % 2 == 1) & (F.col("rank") <= sample_docs)  # these train, others calibrate, so that a language of few documents has both
     counted = sample.where(odd).select("language", "t").mapInPandas(_gram_counts(order), "language string, gram string, n long")
     counts = counted.groupBy("language", "gram").agg(F.sum("n").alias("n")).persist()
     fitted = {}
@@ -208,24 +209,27 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
         signs = np.frombuffer("".join(mine.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         fitted[name] = fit_language(signs.reshape(-1, order), np.asarray(mine.column("n")), order)
     model = Model(list(fitted), order, [x[0] for x in fitted.values()], [x[1] for x in fitted.values()], [x[2] for x in fitted.values()], key=uuid.uuid4().hex)
-    held = sample.where(~odd).select("language", "t").toPandas()
-    model.limits = calibrate(model, held["language"].tolist(), held["t"].tolist())
+    model.limits, scorer = np.full((len(fitted), 4), np.inf), Scorer(model)
+    for i, name in enumerate(fitted):  # one language's texts at a time on the driver
+        held = [r.t for r in sample.where(~odd & (F.col("language") == name)).select("t").collect()]
+        model.limits[i] = calibrate(model, [name] * len(held), held, scorer=scorer)[i]
     sample.unpersist()
     counts.unpersist()
     return model
 
 
-def calibrate(model: Model, languages: list[str], texts: list[str], false_rejection: float = FALSE_REJECTION) -> np.ndarray:
+def calibrate(model: Model, languages: list[str], texts: list[str], false_rejection: float = FALSE_REJECTION, scorer: Scorer | None = None) -> np.ndarray:
     """By language: centre, spread s0 and s1 with variance s0² + s1² / length, and the accepted number of spreads."""
     out = np.full((len(model.languages), 4), np.inf)
     if not texts:
         out[:, :3] = (0, 1, 0)
         return out
-    scorer = Scorer(model)
+    scorer = scorer or Scorer(model)
     parts = [scorer.cross_entropies(texts[i : i + 50]) for i in range(0, len(texts), 50)]
     ce, sizes = (np.concatenate(x) for x in zip(*parts))
     for i, name in enumerate(model.languages):
         mine = np.array([x == name for x in languages]) & ~np.isnan(ce[:, i])
+        mine[mine] = ce[mine].argmin(axis=1) == i  # others are mislabelled, or not of this language alone
         x, n = ce[mine, i], np.maximum(sizes[mine], 1)
         if len(x) < 5:
             out[i] = (0, 1, 0, np.inf)
@@ -236,8 +240,7 @@ def calibrate(model: Model, languages: list[str], texts: list[str], false_reject
         s = np.linalg.lstsq(a, off, rcond=None)[0].clip(0)
         s[0] = max(s[0], 1e-6)
         z = (x - centre) / np.sqrt(s[0] + s[1] / n)
-        # with few held-out documents the quantile is their largest; half as much again covers what they didn't show
-        out[i] = (centre, s[0], s[1], 1.5 * max(4.0, np.quantile(z, 1 - false_rejection)))
+        out[i] = (centre, s[0], s[1], max(4.0, np.quantile(z, 1 - false_rejection)))
     return out
 
 

@@ -61,6 +61,15 @@ def test_language_held_out(spark):
     assert not any(r.language_id.accepted for r in L.identified(docs_of(spark, ["a b"]), none).collect())
 
 
+def test_language_limits_withstand_mislabelled_documents(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {k: [r.text for r in docs.where(F.col("lang") == k).orderBy("doc_id").limit(150).collect()] for k in ("de", "en")}
+    model = L.fit(docs_of(spark, [*texts["de"], *texts["en"]], ["de"] * len(texts["de"]) + ["en"] * len(texts["en"])))
+    held = [t for t in texts["de"] if t][1::2]
+    clean = L.calibrate(model, ["de"] * len(held), held)[0]
+    assert np.allclose(L.calibrate(model, ["de"] * (len(held) + 6), held + texts["en"][:6])[0], clean) and clean[3] < 15
+
+
 def test_kneser_ney_sums_to_one():
     codes, at = L._prepared(["abab abc abba cab"], 3)
     grams = np.lib.stride_tricks.sliding_window_view(codes, 3)
