@@ -16,18 +16,18 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GOLD, U64, claim, folded, mix, slices, table, text_batches
+from .common import GOLD, U64, claim, folded, mix, saved, slices, table, text_batches
 
 ORDER, SAMPLE_DOCS, FALSE_REJECTION = 5, 800, 0.002
-#: Languages of which models are held at once; the sample, and so the models, are bounded by it.
+#: Languages of which a worker holds models at once; of more, texts are scored in passes.
 MOST_LANGUAGES = 200
 _CACHE_BITS = 18
 SCHEMA = "language string, cross_entropy double, margin double, accepted boolean"
@@ -69,6 +69,7 @@ class Model:
     floor: list[float]
     limits: np.ndarray | None = None  # by language: mean, spread, spread by length, threshold
     key: str = ""
+    more: list[Model] = field(default_factory=list)  # of further languages, later in name
 
     def log_probabilities(self, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """[position, language]: of the sign at each of ``ends`` after the order - 1 signs before it."""
@@ -176,9 +177,11 @@ class Scorer:
 def sample_of_labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, n: int) -> DataFrame:
     """(language, rank, text): of each language the n labelled documents of the lowest hash of id and text."""
     rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("language"), F.xxhash64(F.col(id_col), F.lit(17)).alias("h"), F.col(text_col).alias("t"))
-    lowest = rows.select("language", "h").withColumn("rank", F.row_number().over(Window.partitionBy("language").orderBy("h"))).where(F.col("rank") <= n)
-    most = lowest.orderBy("language", "rank").limit(n * MOST_LANGUAGES)  # bounded by what the model may hold, so it can be broadcast
-    return rows.join(F.broadcast(most), ["language", "h"])
+    of_each = Window.partitionBy("language").orderBy("h")
+    lowest = rows.select("language", "h").withColumn("rank", F.row_number().over(of_each)).where(F.col("rank") <= n)
+    last = lowest.groupBy("language").agg(F.max("h").alias("last"))  # a row a language, so it can be broadcast
+    few = rows.join(F.broadcast(last), "language").where(F.col("h") <= F.col("last"))
+    return few.withColumn("rank", F.row_number().over(of_each)).where(F.col("rank") <= n).drop("last")
 
 
 def _gram_counts(order: int):
@@ -201,8 +204,18 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     odd = (F.col("rank") % 2 == 1) & (F.col("rank") <= sample_docs)  # these train, others calibrate, so that a language of few documents has both
     counted = sample.where(odd).select("language", "t").mapInPandas(_gram_counts(order), "language string, gram string, n long")
     counts = counted.groupBy("language", "gram").agg(F.sum("n").alias("n")).persist()
+    names = sorted(r.language for r in sample.select("language").distinct().collect())
+    parts = [_fit_part(sample, counts, odd, names[i : i + MOST_LANGUAGES], order) for i in range(0, max(1, len(names)), MOST_LANGUAGES)]
+    model = parts[0]
+    model.more = parts[1:]
+    sample.unpersist()
+    counts.unpersist()
+    return model
+
+
+def _fit_part(sample: DataFrame, counts: DataFrame, odd: Column, names: list[str], order: int) -> Model:
     fitted = {}
-    for name in sorted(r.language for r in sample.select("language").distinct().collect()):
+    for name in names:
         mine = counts.where(F.col("language") == name).select("gram", "n").toArrow()
         if not mine.num_rows:
             continue
@@ -213,8 +226,6 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     for i, name in enumerate(fitted):  # one language's texts at a time on the driver
         held = [r.t for r in sample.where(~odd & (F.col("language") == name)).select("t").collect()]
         model.limits[i] = calibrate(model, [name] * len(held), held, scorer=scorer)[i]
-    sample.unpersist()
-    counts.unpersist()
     return model
 
 
@@ -281,11 +292,28 @@ def _decided(model: Model, ce: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
 
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with one more column ``language_id`` (struct of SCHEMA). Map-only; the model is a few MB, bounded by the sample."""
+    """docs with one more column ``language_id`` (struct of SCHEMA). Map-only for at most ``MOST_LANGUAGES``; of more, each pass over them saves docs with the best so far."""
     text_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    score = F.pandas_udf(_typed(_scored(shared)), SCHEMA).asNondeterministic()  # else a filter on it scores every text twice
-    return docs.withColumn("language_id", score(F.col(text_col)))
+
+    def scored(part: Model) -> Column:
+        shared = docs.sparkSession.sparkContext.broadcast(replace(part, more=[]))
+        return F.pandas_udf(_typed(_scored(shared)), SCHEMA).asNondeterministic()(F.col(text_col))  # else a filter on it scores every text twice
+
+    done = docs.withColumn("language_id", scored(model))
+    for part in model.more:
+        if part.languages:
+            both = saved(done.withColumn("__next", scored(part)), "languages")
+            done = both.withColumn("language_id", _lower("language_id", "__next", len(model.languages) == 1 and part is model.more[0], len(part.languages) == 1)).drop("__next")
+    return done
+
+
+def _lower(one: str, other: str, lone: bool, other_lone: bool) -> Column:
+    """Of two results the one of the lower cross-entropy, the first on ties, with the margin to the second of all; a lone model has no margin of its own."""
+    a, b = F.col(one), F.col(other)
+    gap = F.abs(a["cross_entropy"] - b["cross_entropy"])
+    margin = lambda x, alone: gap if alone else F.least(gap, x["margin"])
+    first = a.withField("margin", margin(a, lone))
+    return F.when(a["language"].isNull(), b).when(b["language"].isNull(), a).when(b["cross_entropy"] < a["cross_entropy"], b.withField("margin", margin(b, other_lone))).otherwise(first)
 
 
 def _typed(function):

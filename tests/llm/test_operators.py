@@ -2,6 +2,7 @@
 
 import random
 import re
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -70,6 +71,19 @@ def test_language_limits_withstand_mislabelled_documents(spark):
     assert np.allclose(L.calibrate(model, ["de"] * (len(held) + 6), held + texts["en"][:6])[0], clean) and clean[3] < 15
 
 
+def test_languages_beyond_one_pass(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns = ["doc_id", "language_id.language", "language_id.accepted", F.round("language_id.cross_entropy", 9), F.round("language_id.margin", 9)]
+    whole = L.fit(docs, sample_docs=60)
+    want = sorted(L.identified(docs, replace(whole, limits=np.tile([0, 1, 0, np.inf], (4, 1)))).select(columns).collect())
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 1)
+    parts = L.fit(docs, sample_docs=60)
+    assert [parts.languages, *(p.languages for p in parts.more)] == [[x] for x in whole.languages]
+    for p in (parts, *parts.more):
+        p.limits[:] = (0, 1, 0, np.inf)
+    assert len(want) and sorted(L.identified(docs, parts).select(columns).collect()) == want
+
+
 def test_kneser_ney_sums_to_one():
     codes, at = L._prepared(["abab abc abba cab"], 3)
     grams = np.lib.stride_tricks.sliding_window_view(codes, 3)
