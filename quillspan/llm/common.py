@@ -13,6 +13,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import DataType
 
 U64 = np.uint64
 GOLD = U64(0x9E3779B97F4A7C15)
@@ -33,7 +35,10 @@ def claim(name: str, release: Callable[[], None]) -> None:
 
 
 def text_batches(spark: SparkSession, rows: int = TEXT_ROWS) -> None:
-    """Lets fewer rows than Spark's default travel to Python at a time, since these are whole texts."""
+    """Lets fewer rows than Spark's default travel to Python at a time, since these are whole texts.
+
+    A setting of the session, so the registered queries and the pipeline make it; operators leave the session as it is.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows or int(spark.conf.get(name)) <= 0:
         spark.conf.set(name, str(rows))
@@ -43,10 +48,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def quoted(name: str) -> str:
+    """A column's name as a reference, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def col(name: str):
+    return F.col(quoted(name))
+
+
+def type_of(df: DataFrame, name: str) -> DataType:
+    """Of a column by its name, which Spark compares without case."""
+    return next(f.dataType for f in df.schema.fields if f.name.lower() == name.lower())
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where none is set (tests), a temporary one on this machine."""
+    """The cluster's shared folder. Where none is set, a local session (tests) gets a temporary one; on a cluster that raises,
+    since its machines don't see each other's folders."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         at = tempfile.mkdtemp(prefix="quillspan-")
         atexit.register(shutil.rmtree, at, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(at)
@@ -54,11 +87,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def saved(df: DataFrame, label: str) -> DataFrame:
-    """The rows of df, written once in the shared folder: short lineage that outlives any executor."""
+    """The rows of df, written once in the shared folder: short lineage that outlives any executor.
+
+    ``dropped`` removes them; tables that a returned plan still reads stay until the folder's owner clears it.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_quillspan_path"] = path
+    return out
+
+
+def dropped(*tables: DataFrame | None) -> None:
+    """Removes saved tables that nothing reads any more."""
+    for df in tables:
+        if df is not None and (path := df.__dict__.get("_quillspan_path")):
+            jvm = df.sparkSession.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
