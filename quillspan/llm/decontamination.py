@@ -192,7 +192,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The items' index is broadcast in parts of at most ``INDEX_CHARS`` signs, one pass over the documents each.
     """
     spark = docs.sparkSession
-    text_batches(spark)
     schema = f"{id_col} long, item_id long, edits int, budget int"
     out, ids, texts, size = None, [], [], 0
 
@@ -243,7 +242,6 @@ def flagged(texts: pd.Series, index: Index) -> pd.Series:
 def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_text: str = "text", q: int = Q, rate: float = EDIT_RATE) -> DataFrame:
     """The rows of docs that hold no passage of the benchmark, all columns kept; a filter, with no shuffle."""
     spark, texts, size, conditions = docs.sparkSession, [], 0, []
-    text_batches(spark)
 
     def clean():
         shared = spark.sparkContext.broadcast(build_index([None] * len(texts), texts, q, rate))
@@ -275,4 +273,5 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that hold a benchmark passage go."""
+    text_batches(spark)
     return without_contamination(docs, table(spark, sf_dir, "benchmark"))

@@ -293,7 +293,6 @@ def _decided(model: Model, ce: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
 
 def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with one more column ``language_id`` (struct of SCHEMA). Map-only for at most ``MOST_LANGUAGES``; of more, each pass over them saves docs with the best so far."""
-    text_batches(docs.sparkSession)
 
     def scored(part: Model) -> Column:
         shared = docs.sparkSession.sparkContext.broadcast(replace(part, more=[]))
@@ -330,5 +329,6 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go; ``lang`` of the others becomes the language found."""
+    text_batches(spark)
     found = identified(docs, fit(docs)).where("language_id.accepted")
     return found.withColumn("lang", F.col("language_id.language")).select(docs.columns)

@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import saved, table, text_batches
 
 TEMPERATURE, TOLERANCE, MOST_STEPS = 0.7, 1e-9, 60
 #: Tilts of so many sources are broadcast (two numbers each); of more, they are joined by exchange.
@@ -127,4 +127,5 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: every document as many times as its rate rounds to."""
+    text_batches(spark)
     return mixed(docs)

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, slices, table, text_batches
+from .common import claim, slices, table
 from .vocabulary import DEFAULT_VOCABULARY, PATTERN, PieceCache, digest, encoder_of, ranks_of, read_vocabulary
 
 #: Documents of which the dictionary is trained at most, and its size: a bounded sample, drawn by hash from all rows.
@@ -79,7 +79,6 @@ def read_record(payload: bytes, dictionary: bytes, dict_hash: str, kind: str = "
 def token_binary(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, pattern: str = PATTERN, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """One record a row, and one row with the dictionary. Map-only: a shard is what one task writes."""
     spark = docs.sparkSession
-    text_batches(spark)
     raw_bytes = read_vocabulary(vocabulary)
     sample = [r.t for r in dictionary_sample(docs, text_col, sample_docs).toLocalIterator()]
     dictionary = train_dictionary([serialized(t, raw_bytes, pattern) for t in sample])

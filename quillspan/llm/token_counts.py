@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, table, text_batches
+from .common import claim, table
 from .vocabulary import DEFAULT_VOCABULARY, PATTERN, PieceCache, pattern_of, ranks_of, read_vocabulary
 
 
@@ -72,7 +72,6 @@ def count_tokens(text: str, raw: bytes, pattern: str = PATTERN) -> int:
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = DEFAULT_VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """(id_col, n_tokens) for every row. The vocabulary file is read on the driver and broadcast (0.5 MB, of fixed size)."""
-    text_batches(docs.sparkSession)
     raw = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     @F.pandas_udf("long")
