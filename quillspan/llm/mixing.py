@@ -3,126 +3,160 @@
 Every document i gets a rate w_i > 0 so that the token-weighted Kullback-Leibler distance of the rates from 1,
 ``sum t_i (w_i log w_i - w_i + 1)``, is least while each source's tokens ``sum w_i t_i`` equal its target and the
 corpus' token-weighted mean of z, the standardised log length, stays what it was. The convex dual has one number a
-source and one for z; its solution tilts exponentially, ``w_i = exp(a[source_i] + b z_i)``. Newton iterations
-solve it: each aggregates moments over (source, tokens) cells in one distributed job of a few numbers a source, and
-the step solves an arrow-shaped system in time linear in the sources. Rates become copies: the whole part, and one
-more with the chance of the rest, by a hash of id and text, so that a retry copies alike.
+source and one for z; its solution tilts exponentially, ``w_i = exp(a[source_i] + b z_i)``. For a given b the sources' numbers
+are known in closed form, so they are eliminated and Newton iterations solve for b alone. Each aggregates moments of (source,
+tokens) cells by source and then over all sources, in one distributed job that gives the driver three numbers however many
+sources there are. Rates become copies: the whole part, and one more with the chance of the rest, by a hash of id
+and text, so that a retry copies alike.
 
-Targets are shares of all tokens by source (``targets``), or, where none are given, the shares of
-``tokens ** TEMPERATURE``; a source that isn't named in ``targets`` gets 0 and its documents rate 0.
+Tokens are those of the vocabulary. Targets are shares of all tokens by source (``targets``), or, where none are given, the shares
+of ``tokens ** TEMPERATURE``; a source that isn't named in ``targets`` gets 0 and its documents rate 0. Where no b meets the
+constraint on lengths (targets alone may fix all rates), it is left out: targets are met with b = 0, ``lengths_met`` is
+false in every row and a warning is given.
 
 Edges: a null source is a source of its own; null and empty texts have no tokens, constrain nothing and get rate 1
-(one copy); rows of one id and text get equal copies; an empty table gives an empty result; in ``mixed`` all columns of
-docs are kept, whatever their names.
+(one copy), whatever their source; rows of one id and text get equal copies, rows of null id too; an empty table gives an empty result; in
+``mixed`` all columns of docs are kept as they are, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import warnings
+from collections.abc import Iterator
+from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table, text_batches
+from .common import claim, col, dropped, fresh, saved, table, text_batches
+from .vocabulary import DEFAULT_VOCABULARY, PATTERN, encoded_length, forget_lengths, read_vocabulary
 
-TEMPERATURE, TOLERANCE, MOST_STEPS = 0.7, 1e-9, 60
-#: Tilts of so many sources are broadcast (two numbers each); of more, they are joined by exchange.
+TEMPERATURE, TOLERANCE, MOST_STEPS, MOST_TILT = 0.7, 1e-10, 60, 60.0
+#: Tilts of so many sources are broadcast (a number each); of more, they are joined by exchange.
 BROADCAST_SOURCES = 20_000
-_SOURCE, _TOKENS, _RATE, _COPIES = "__source", "__tokens", "__rate", "__copies"
 
 
-def token_number(text: Column) -> Column:
-    """Words between white space, counted in the JVM."""
-    return F.coalesce(F.regexp_count(text, F.lit(r"\S+")), F.lit(0)).cast("long")
-
-
-def target_tokens(totals: dict[str | None, int], targets: dict[str | None, float] | None, temperature: float = TEMPERATURE) -> dict[str | None, float]:
-    whole = sum(totals.values())
-    raw = {s: (targets.get(s, 0.0) if targets is not None else t**temperature) for s, t in totals.items()}
-    norm = sum(raw.values())
-    return {s: whole * r / norm if norm else 0.0 for s, r in raw.items()}
-
-
-def by_source(spark: SparkSession, values: dict[str | None, float], schema: str) -> DataFrame:
-    """One row a source, marked for broadcast if its checked size allows."""
-    rows = spark.createDataFrame([(s, float(x)) for s, x in values.items()], schema)
-    return F.broadcast(rows) if len(values) <= BROADCAST_SOURCES else rows
-
-
-def balance(cells: DataFrame, targets: dict[str | None, float] | None = None, temperature: float = TEMPERATURE) -> tuple[dict[str | None, float], float, float, float]:
-    """(a by source, b, mean, deviation) from cells (source, tokens, n): the tilts, and what standardises log tokens.
-
-    A source whose target is 0 has a = -inf.
-    """
-    log = F.log(F.col("tokens").cast("double"))
-    weight = F.col("tokens") * F.col("n")
-    rows = cells.groupBy("source").agg(F.sum(weight).alias("t"), F.sum(weight * log).alias("z"), F.sum(weight * log * log).alias("zz")).collect()
-    totals = {r.source: int(r.t) for r in rows}
-    whole = sum(totals.values())
-    if not whole:
-        return {}, 0.0, 0.0, 1.0
-    mean = sum(r.z for r in rows) / whole
-    deviation = math.sqrt(max(sum(r.zz for r in rows) / whole - mean * mean, 0.0)) or 1.0
-    goal = target_tokens(totals, targets, temperature)
-    a = {s: math.log(goal[s] / totals[s]) if goal[s] > 0 else -math.inf for s in totals}
-    live = [s for s in totals if goal[s] > 0]
-    b, spark = 0.0, cells.sparkSession
+def token_number(spark: SparkSession, text: Column, vocabulary: str = DEFAULT_VOCABULARY, pattern: str = PATTERN) -> Column:
+    """The tokens of a text, 0 for a null one."""
+    raw = spark.sparkContext.broadcast(read_vocabulary(vocabulary))
+
+    @F.pandas_udf("long")
+    def number(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        claim("mixing", forget_lengths)
+        for texts in batches:
+            yield pd.Series([encoded_length(t, raw.value, pattern) if t else 0 for t in texts], dtype="int64")
+
+    return number.asNondeterministic()(text)  # else a filter on it counts twice
+
+
+@dataclass
+class Balance:
+    """w = exp(a + b z) with z = (log tokens - mean) / deviation; ``tilts`` has (source, a), saved, a null where the target is 0."""
+
+    tilts: DataFrame
+    sources: int
+    b: float
+    mean: float
+    deviation: float
+    lengths_met: bool
+
+
+def balance(cells: DataFrame, targets: dict[str | None, float] | None = None, temperature: float = TEMPERATURE) -> Balance:
+    """The tilts from cells (source, tokens, n), n documents of a source that have so many tokens."""
+    spark = cells.sparkSession
+    log, weight = F.log(F.col("tokens").cast("double")), F.col("tokens") * F.col("n").cast("double")
+    first = cells.groupBy("source").agg(F.sum(weight).alias("t"), F.sum(weight * log).alias("z"), F.sum(weight * log * log).alias("zz"), F.min(log).alias("low"), F.max(log).alias("high"))
+    if targets is None:
+        first = first.withColumn("raw", F.pow("t", F.lit(temperature)))
+    else:
+        asked = spark.createDataFrame([(s, float(x)) for s, x in targets.items()], "key string, raw double")
+        first = first.join(asked, F.col("source").eqNullSafe(F.col("key")), "left").drop("key").fillna(0.0, ["raw"])
+    first = saved(first, "sources")
+    whole = first.agg(F.count("*").alias("n"), F.sum("t").alias("t"), F.sum("z").alias("z"), F.sum("zz").alias("zz"), F.sum("raw").alias("raw")).first()
+    if not whole.t or not whole.raw:
+        return Balance(first.select("source", F.lit(None).cast("double").alias("a")), whole.n, 0.0, 0.0, 1.0, True)
+    mean = whole.z / whole.t
+    deviation = math.sqrt(max(whole.zz / whole.t - mean * mean, 0.0))
+    deviation = deviation if deviation > 1e-9 else 1.0
+    goals = first.where("raw > 0").select("source", (F.col("raw") * (whole.t / whole.raw)).alias("goal"), ((F.col("low") - mean) / deviation).alias("low"), ((F.col("high") - mean) / deviation).alias("high"))
+    goals = saved(goals, "goals")
     z = (log - F.lit(mean)) / F.lit(deviation)
 
-    def moments(a: dict, b: float) -> dict:
-        tilts = by_source(spark, {s: a[s] for s in live}, "source string, a double")
-        joined = cells.withColumn("z", z).join(tilts, cells.source.eqNullSafe(tilts.source)).drop(tilts.source)
-        w = weight * F.exp(F.col("a") + F.lit(b) * F.col("z"))
-        return {r.source: (r.m, r.mz, r.mzz) for r in joined.groupBy("source").agg(F.sum(w).alias("m"), F.sum(w * F.col("z")).alias("mz"), F.sum(w * F.col("z") * F.col("z")).alias("mzz")).collect()}
-
-    def dual(m: dict, a: dict) -> float:
-        return sum(x[0] for x in m.values()) - sum(goal[s] * a[s] for s in live)  # z's target is 0
-
-    now = moments(a, b)
+    def by_source(b: float) -> DataFrame:
+        """Of each source the sums of e, e z and e z z with e = weight exp(b z - top), top the largest b z of the source."""
+        top = F.greatest(F.col("low") * b, F.col("high") * b)
+        near = goals.select(F.col("source").alias("key"), "goal", top.alias("top"))
+        joined = cells.join(F.broadcast(near) if whole.n <= BROADCAST_SOURCES else near, F.col("source").eqNullSafe(F.col("key")))
+        e = weight * F.exp(F.lit(b) * z - F.col("top"))
+        return joined.groupBy("source").agg(F.first("goal").alias("goal"), F.first("top").alias("top"), F.sum(e).alias("m"), F.sum(e * z).alias("mz"), F.sum(e * z * z).alias("mzz"))
+
+    def dual(b: float) -> tuple[float, float, float]:
+        """The dual at b with the sources' numbers at their best, its slope and its curvature; the target of z is 0."""
+        share = F.col("mz") / F.col("m")
+        got = by_source(b).agg(F.sum(F.col("goal") * (F.log("m") + F.col("top"))), F.sum(F.col("goal") * share), F.sum(F.col("goal") * (F.col("mzz") / F.col("m") - share * share))).first()
+        return got[0], got[1], max(got[2], 0.0)
+
+    b, met = 0.0, False
+    value, slope, curve = dual(b)
     for _ in range(MOST_STEPS):
-        slope = {s: now[s][0] - goal[s] for s in live}
-        slope_b = sum(x[1] for x in now.values())
-        if max([abs(slope[s]) for s in live] + [abs(slope_b)]) <= TOLERANCE * whole:
+        if abs(slope) <= TOLERANCE * whole.t:
+            met = True
             break
-        # the Hessian is diagonal in the sources, with one further row and column for z
-        rest = sum(x[2] for x in now.values()) - sum(now[s][1] ** 2 / now[s][0] for s in live)
-        step_b = -(slope_b - sum(now[s][1] * slope[s] / now[s][0] for s in live)) / rest if rest > 1e-9 * whole else 0.0
-        step = {s: -(slope[s] + now[s][1] * step_b) / now[s][0] for s in live}
-        scale, was = 1.0, dual(now, a)
-        fall = sum(slope[s] * step[s] for s in live) + slope_b * step_b
+        if curve <= 1e-12 * whole.t or abs(b) > MOST_TILT:
+            break
+        step = -slope / curve
+        step = math.copysign(min(abs(step), 5.0), step)
+        scale = 1.0
         while True:
-            tried = {s: a[s] + scale * step[s] if s in step else a[s] for s in a}, b + scale * step_b
-            now = moments(*tried)
-            if dual(now, tried[0]) <= was + 1e-4 * scale * fall + 1e-12 * whole or scale < 1e-4:
+            tried = dual(b + scale * step)
+            if tried[0] <= value + 1e-4 * scale * slope * step + 1e-13 * abs(value) or scale < 1e-6:
                 break
             scale /= 2
-        a, b = tried
-    return a, b, mean, deviation
+        b += scale * step
+        value, slope, curve = tried
+    if not met:
+        warnings.warn("no tilt keeps the mean length with these targets; lengths are left free", stacklevel=2)
+        b = 0.0
+    tilts = first.select("source").join(by_source(b).select(F.col("source").alias("key"), (F.log("goal") - F.log("m") - F.col("top")).alias("a")), F.col("source").eqNullSafe(F.col("key")), "left").drop("key")
+    tilts = saved(tilts, "tilts")
+    dropped(first, goals)
+    return Balance(tilts, whole.n, b, mean, deviation, met)
+
 
+def mixed_rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", targets: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, seed: int = 5, keep: list[str] | None = None, names: tuple[str, str, str, str] = ("n_tokens", "rate", "copies", "lengths_met"), vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+    """The columns ``keep`` of docs (all by default) and four more, named by ``names``: tokens, rate, copies and whether lengths are met.
 
-def mixed_rates(docs: DataFrame, source_col: str = "source", text_col: str = "text", id_col: str = "doc_id", targets: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, seed: int = 5) -> DataFrame:
-    """docs with __source, __tokens, __rate and __copies. Texts are read twice and, up to ``BROADCAST_SOURCES`` sources, never shuffled."""
-    counted = docs.withColumns({_SOURCE: F.col(source_col).cast("string"), _TOKENS: token_number(F.col(text_col))})
-    cells = saved(counted.where(F.col(_TOKENS) > 0).groupBy(F.col(_SOURCE).alias("source"), F.col(_TOKENS).alias("tokens")).agg(F.count("*").alias("n")), "cells")
-    a, b, mean, deviation = balance(cells, targets, temperature)
-    tilts = by_source(docs.sparkSession, a, "__key string, __a double")
-    z = (F.log(F.col(_TOKENS).cast("double")) - F.lit(mean)) / F.lit(deviation)
-    joined = counted.join(tilts, F.col(_SOURCE).eqNullSafe(F.col("__key")), "left")
-    rate = F.when(F.col(_TOKENS) == 0, F.lit(1.0)).otherwise(F.exp(F.col("__a") + F.lit(b) * z))
-    coin = F.pmod(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    rated = joined.withColumn(_RATE, rate).drop("__key", "__a")
-    return rated.withColumn(_COPIES, (F.floor(_RATE) + F.when(coin < F.col(_RATE) - F.floor(_RATE), 1).otherwise(0)).cast("int"))
+    Texts are read and counted once; what is kept is saved with its counts and, up to ``BROADCAST_SOURCES`` sources, never shuffled.
+    """
+    keep = docs.columns if keep is None else keep
+    taken = docs.select([col(c) for c in keep])
+    tokens, coin, source, key, a = fresh(taken, "tokens", "coin", "source_name", "source_key", "tilt")
+    hashed = F.pmod(F.xxhash64(col(id_col), col(text_col), F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    counted = docs.select(*[col(c) for c in keep], token_number(docs.sparkSession, col(text_col), vocabulary).alias(tokens), hashed.alias(coin), col(source_col).cast("string").alias(source))
+    counted = saved(counted, "counted")
+    cells = saved(counted.where(F.col(tokens) > 0).groupBy(F.col(source).alias("source"), F.col(tokens).alias("tokens")).agg(F.count("*").alias("n")), "cells")
+    found = balance(cells, targets, temperature)
+    dropped(cells)
+    tilts = found.tilts.select(F.col("source").alias(key), F.col("a").alias(a))
+    joined = counted.join(F.broadcast(tilts) if found.sources <= BROADCAST_SOURCES else tilts, F.col(source).eqNullSafe(F.col(key)), "left")
+    z = (F.log(F.col(tokens).cast("double")) - F.lit(found.mean)) / F.lit(found.deviation)
+    rate = F.when(F.col(tokens) == 0, F.lit(1.0)).otherwise(F.coalesce(F.exp(F.col(a) + F.lit(found.b) * z), F.lit(0.0)))
+    whole = F.floor(rate)
+    copies = (whole + F.when(F.col(coin) < rate - whole, 1).otherwise(0)).cast("int")
+    return joined.select(*[col(c) for c in keep], F.col(tokens).alias(names[0]), rate.alias(names[1]), copies.alias(names[2]), F.lit(found.lengths_met).alias(names[3]))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """docs, each row as many times as its copies."""
-    rated = mixed_rates(docs, **options).where(F.col(_COPIES) > 0)
-    return rated.withColumn("__n", F.explode(F.array_repeat(F.lit(0), F.col(_COPIES)))).select([F.col(f"`{c}`") for c in docs.columns])
+    names = fresh(docs, "n_tokens", "rate", "copies", "lengths_met", "copy")
+    rated = mixed_rates(docs, names=tuple(names[:4]), **options).where(F.col(names[2]) > 0)
+    return rated.withColumn(names[4], F.explode(F.array_repeat(F.lit(0), F.col(names[2])))).select([col(c) for c in docs.columns])
 
 
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rated = mixed_rates(table(spark, sf_dir, "documents"))
-    return rated.select("doc_id", "source", F.col(_TOKENS).alias("n_tokens"), F.col(_RATE).alias("rate"), F.col(_COPIES).alias("copies"))
+    return mixed_rates(table(spark, sf_dir, "documents"), keep=["doc_id", "source"])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

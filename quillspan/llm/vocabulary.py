@@ -82,3 +82,18 @@ class PieceCache(dict):
     def _cut(self, text: str) -> list:
         first, *rest = _BEFORE_WORD.split(text)
         return [self.value_of(first), *map(self.__getitem__, rest)]
+
+
+@lru_cache(maxsize=2)
+def _encoded_lengths(raw: bytes, pattern: str) -> PieceCache:
+    encode = encoder_of(raw, pattern).encode_ordinary
+    return PieceCache(lambda piece: len(encode(piece)))
+
+
+def forget_lengths() -> None:
+    _encoded_lengths.cache_clear()
+
+
+def encoded_length(text: str, raw: bytes, pattern: str = PATTERN) -> int:
+    """The number of tokens by the vocabulary's own encoder: that of ``token_counts``, for operators that only need numbers."""
+    return sum(_encoded_lengths(raw, pattern).values_of(text))
