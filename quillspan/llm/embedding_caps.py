@@ -8,10 +8,14 @@ by block, and a prefix is dropped as soon as even the best remaining code words
 that share a cap are compared exactly. Caps shrink smoothly as the table grows, so that a cap holds about ``CAP_LOAD``
 unrelated vectors, and their number is what gives a pair at the threshold about ``SHARED`` common caps a code.
 
-Edges: null, empty and zero vectors and those with a null, NaN or infinite part pair with nothing, nor do vectors of
-different dimension; rows without an id can't be named and pair with nothing; rows that repeat an id are one
-name with several vectors (a name is never paired with itself, of several cosines of a pair the largest
-holds); an empty table gives an empty result; only the two named columns are read.
+Only caps, names and vectors of 8 bits a part travel, packed by hash bucket. Their known rounding error decides most pairs of a
+cap for certain; the others are compared exactly. The result has a row for each vector: the class of vectors that
+likeness joins it to, directly or through others, and the number of its links.
+
+Edges: null, empty and zero vectors and those with a null, NaN or infinite part link to nothing, nor do vectors of
+different dimension; rows without an id can't be named and have no row in the result; rows that repeat id and vector
+are one, rows of one id and different vectors one for each vector; ids may be of any type that can be ordered; an empty table gives
+an empty result; only the two named columns are read.
 """
 
 from __future__ import annotations
@@ -22,13 +26,20 @@ from functools import lru_cache
 from itertools import product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import GOLD, U64, mix, saved, table
+from pyspark.sql.types import ArrayType, FloatType, LongType, StructType
+
+from .common import GOLD, U64, col, dropped, mix, saved, table, type_of
+from .runs import PACKED, bucket_number, classes, packed_rows, paired
 
-THRESHOLD, CAP_LOAD, SHARED, CODES, MOST_WORDS, SEED = 0.9, 64, 2.0, 8, 2000, 11
+THRESHOLD, CAP_LOAD, SHARED, CODES, MOST_WORDS, SEED = 0.9, 256, 2.0, 8, 2000, 11
+#: Vectors in a bucket, about, and vectors of a cap that one task compares.
+BUCKET_ENTRIES, RUN = 300_000, 8000
 
 
 def _tail(dimension: int, grid: int = 20_001) -> tuple[np.ndarray, np.ndarray]:
@@ -101,103 +112,185 @@ def list_decode(vectors: np.ndarray, height: float, caps: float, seed: int = SEE
     return who, path
 
 
-def _filtered(n: int, threshold: float, seed: int, partitions: int):
+def units(rows: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, node, u): the vector of length 1 and its 64-bit name; both null where the vector has no direction."""
+    schema = StructType().add("id", type_of(rows, id_col)).add("node", LongType()).add("u", ArrayType(FloatType()))
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(1)
+            sizes = np.asarray(pc.fill_null(lists.value_lengths(), 0), dtype=np.int64)
+            flat = np.asarray(pc.fill_null(lists.flatten(), np.nan), dtype=np.float64)
+            ends = np.cumsum(sizes)
+            node, good, out = np.zeros(len(sizes), dtype=np.int64), np.zeros(len(sizes), dtype=bool), [None] * len(sizes)
+            for dimension in map(int, np.unique(sizes[sizes > 0])):
+                at = np.flatnonzero(sizes == dimension)
+                x = flat[(ends[at] - dimension)[:, None] + np.arange(dimension)]
+                with np.errstate(over="ignore", invalid="ignore"):
+                    norm = np.sqrt((x * x).sum(axis=1))
+                some = np.isfinite(norm) & (norm > 0)
+                at, u = at[some], (x[some] / norm[some, None]).astype(np.float32) + np.float32(0)
+                steps = np.arange(1, dimension + 1, dtype=U64) * GOLD
+                names = mix(mix(u.view(np.uint32).astype(U64) + steps).sum(axis=1, dtype=U64) + np.full(len(u), dimension, dtype=U64))
+                node[at], good[at] = names.view(np.int64), True
+                for i, v in zip(at, u):
+                    out[i] = v
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, mask=~good), pa.array(out, pa.list_(pa.float32()))], names=schema.names)
+
+    return rows.where(col(id_col).isNotNull()).select(col(id_col).alias("id"), col(vector_col).cast("array<double>").alias("v")).mapInArrow(named, schema)
+
+
+def _matrices(batch: pa.RecordBatch, column: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(rows, vectors) of every dimension of a column of lists."""
+    lists = batch.column(column)
+    sizes, flat = np.asarray(lists.value_lengths()), np.asarray(lists.flatten(), dtype=np.float32)
+    ends = np.cumsum(sizes)
+    for dimension in map(int, np.unique(sizes)):
+        at = np.flatnonzero(sizes == dimension)
+        yield at, flat[(ends[at] - dimension)[:, None] + np.arange(dimension)]
+
+
+def rounded(x: np.ndarray) -> np.ndarray:
+    """Rows of bytes: each part as 8 bits, then the scale and the length of what rounding took, as 32-bit floats."""
+    scale = np.abs(x).max(axis=1) / 127
+    q = np.rint(x / scale[:, None]).astype(np.int8)
+    lost = np.sqrt(((x - q * scale[:, None]).astype(float) ** 2).sum(axis=1)).astype(np.float32) + np.float32(1e-6)
+    return np.hstack([q.view(np.uint8), scale.astype(np.float32)[:, None].view(np.uint8), lost[:, None].view(np.uint8)])
+
+
+def close_pairs(threshold: float):
+    """Pairs whose cosine may reach the threshold, sure where rounding can't have made the difference."""
+
+    def read(payload: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        tail = np.ascontiguousarray(payload[:, -8:]).view(np.float32)
+        return np.ascontiguousarray(payload[:, :-8]).view(np.int8).astype(np.float32) * tail[:, :1], tail[:, 1]
+
+    def pairs(node, payload, other, other_payload):
+        x, lost = read(payload)
+        y, lost_y = (x, lost) if other is None else read(other_payload)
+        to = node if other is None else other
+        for i in range(0, len(x), 1000):
+            for j in range(i if other is None else 0, len(y), 1000):
+                like = x[i : i + 1000] @ y[j : j + 1000].T
+                doubt = lost[i : i + 1000, None] + (1 + lost[i : i + 1000, None]) * lost_y[None, j : j + 1000] + 1e-5
+                a, b = np.nonzero(like + doubt >= threshold)
+                if other is None:
+                    keep = a + i < b + j
+                    a, b = a[keep], b[keep]
+                if len(a):
+                    yield node[a + i], to[b + j], like[a, b] - doubt[a, b] >= threshold
+
+    return pairs
+
+
+def _filtered(n: int, threshold: float, seed: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def flushed() -> Iterator[pa.RecordBatch]:
+            for width in {p.shape[1] for _, _, p in held}:
+                cap, node, payload = (np.concatenate(x) for x in zip(*(h for h in held if h[2].shape[1] == width)))
+                bucket, a, b, c = packed_rows(cap, node, buckets, payload)
+                for i in range(0, len(bucket), 200):
+                    yield pa.RecordBatch.from_arrays([pa.array(bucket[i : i + 200], pa.int32()), *(pa.array(x[i : i + 200], pa.binary()) for x in (a, b, c))], names=["bucket", "a", "b", "c"])
+            held.clear()
+
         for batch in batches:
             node = np.asarray(batch.column(0))
-            sizes = np.asarray(batch.column(1).value_lengths())
-            flat = np.asarray(batch.column(1).flatten(), dtype=np.float32)
-            ends = np.cumsum(sizes)
-            for dimension in map(int, np.unique(sizes)):
-                rows = np.flatnonzero(sizes == dimension)
+            for rows, vectors in _matrices(batch, 1):
+                dimension = vectors.shape[1]
                 height, caps = sizing(n, dimension, threshold)
                 for at, k in product(range(0, len(rows), 2000), range(CODES)):
-                    part = rows[at : at + 2000]
-                    x = flat[(ends[part] - dimension)[:, None] + np.arange(dimension)]
+                    x = vectors[at : at + 2000]
+                    payload = rounded(x) if not k else payload
                     who, path = list_decode(x.astype(float), height, caps, seed + k)
-                    cap = mix(mix(path.astype(U64) + U64(k) * GOLD) + U64(dimension)).view(np.int64)
-                    for i in range(0, len(who), 20_000):
-                        w, c = who[i : i + 20_000], cap[i : i + 20_000]
-                        yield pa.RecordBatch.from_arrays([pa.array((c.view(U64) % U64(partitions)).astype(np.int32)), pa.array(c), pa.array(node[part[w]]), pa.array([r.tobytes() for r in x[w]], pa.binary())], names=["part", "cap", "node", "vector"])
+                    cap = mix(mix(path.astype(U64) + np.full(1, k, dtype=U64) * GOLD) + U64(dimension)).view(np.int64)
+                    held.append((cap, node[rows[at : at + 2000]][who], payload[who]))
+                    if sum(h[2].size for h in held) > 50_000_000:
+                        yield from flushed()
+        yield from flushed()
 
     return run
 
 
-def _compared(threshold: float):
-    def pairs(nodes: list[int], vectors: list[bytes]) -> Iterator[pa.RecordBatch]:
-        length = np.array([len(v) for v in vectors])
-        for size in np.unique(length):
-            some = np.flatnonzero(length == size)
-            node = np.array(nodes, dtype=np.int64)[some]
-            x = np.frombuffer(b"".join(vectors[i] for i in some), dtype=np.float32).reshape(len(some), -1)
-            order = np.argsort(node)
-            node, x = node[order], x[order]
-            for i in range(0, len(node), 1000):
-                for j in range(i, len(node), 1000):
-                    a, b = np.nonzero(x[i : i + 1000] @ x[j : j + 1000].T >= threshold - 1e-5)
-                    keep = a + i < b + j
-                    a, b = a[keep] + i, b[keep] + j
-                    cosine = np.einsum("ij,ij->i", x[a].astype(float), x[b].astype(float))
-                    good = cosine >= threshold - 1e-7
-                    if good.any():
-                        yield pa.RecordBatch.from_arrays([pa.array(node[a[good]]), pa.array(node[b[good]]), pa.array(cosine[good])], names=["x", "y", "cosine"])
-
+def _cosines(threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, nodes, vectors = None, [], []
         for batch in batches:
-            caps = np.asarray(batch.column(1))
-            cuts = np.flatnonzero(np.diff(caps)) + 1
-            for a, b in zip([0, *cuts], [*cuts, len(caps)]):
-                if a == b:
-                    continue
-                if caps[a] != now:
-                    if len(nodes) > 1:
-                        yield from pairs(nodes, vectors)
-                    now, nodes, vectors = caps[a], [], []
-                nodes += batch.column(2).slice(a, b - a).to_pylist()
-                vectors += batch.column(3).slice(a, b - a).to_pylist()
-        if len(nodes) > 1:
-            yield from pairs(nodes, vectors)
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for (rows, u), (_, v) in zip(_matrices(batch, 2), _matrices(batch, 3)):
+                keep[rows] = np.einsum("ij,ij->i", u.astype(float), v.astype(float)) >= threshold - 1e-7
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(pa.array(keep)), batch.column(1).filter(pa.array(keep))], names=["x", "y"])
 
     return run
 
 
-def similar_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
-    """(vec_a, vec_b, cosine) with vec_a < vec_b, cosine at least the threshold.
+def similar_nodes(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+    """(id, node), of null node without direction; (x, y): pairs of distinct vectors of at least this cosine, x < y.
 
-    Equal vectors are searched once. Exchanges: distinct vectors, vectors by cap, distinct pairs, and two of pairs with names.
+    Equal vectors are one node. Exchanges: distinct vectors, packed caps, distinct pairs, and vectors for the pairs in doubt.
     """
-    v = F.col(vector_col).cast("array<double>")
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    named = rows.where(F.col(id_col).isNotNull() & (F.size(vector_col) > 0)).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), norm.alias("norm"))
-    named = named.where(F.col("norm").isNotNull() & ~F.isnan("norm") & (F.col("norm") > 0) & (F.col("norm") < float("inf")))
-    unit = named.select("id", F.transform("v", lambda x: (x / F.col("norm")).cast("float")).alias("u")).withColumn("node", F.xxhash64("u"))
-    # an id of several vectors is rare; it only makes further rows here
-    stored = saved(unit, "units")
+    stored = saved(units(rows, id_col, vector_col), "units")
     members = stored.select("id", "node").distinct()
-    nodes = stored.select("node", "u").dropDuplicates(["node"])
-    n = stored.count()
-    parts = max(8, math.ceil(n * 40 / 400_000))
-    spread = nodes.mapInArrow(_filtered(n, threshold, seed, parts), "part int, cap long, node long, vector binary")
-    by_cap = spread.repartition(parts, "cap").sortWithinPartitions("cap")
-    close = saved(by_cap.mapInArrow(_compared(threshold), "x long, y long, cosine double").groupBy("x", "y").agg(F.max("cosine").alias("cosine")), "close")
-    a, b = members.select(F.col("node").alias("x"), F.col("id").alias("p")), members.select(F.col("node").alias("y"), F.col("id").alias("q"))
-    equal = a.join(b, F.col("x") == F.col("y")).where("p < q").select("p", "q", F.lit(1.0).alias("cosine"))
-    unequal = close.join(a, "x").join(b, "y").where("p <> q").select("p", "q", "cosine")
-    pairs = equal.unionAll(unequal).select(F.least("p", "q").alias("vec_a"), F.greatest("p", "q").alias("vec_b"), F.round("cosine", 4).alias("cosine"))
-    if members.count() > members.select("id").distinct().count():
-        pairs = pairs.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
-    return pairs
+    nodes = saved(stored.where("node IS NOT NULL").select("node", "u").dropDuplicates(["node"]), "nodes")
+    n = nodes.count()
+    usual = nodes.groupBy(F.size("u").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    each = 0.0
+    if usual:
+        height, caps = sizing(n, usual.d, threshold)
+        each = CODES * caps * float(np.interp(height, *_tail(usual.d)))
+    buckets = bucket_number(n * each, BUCKET_ENTRIES)
+    packed = saved(nodes.mapInArrow(_filtered(n, threshold, seed, buckets), PACKED), "caps")
+
+    @F.pandas_udf("binary")
+    def bytes_of(vectors: pd.Series) -> pd.Series:
+        return pd.Series([rounded(np.asarray(v, dtype=np.float32)[None])[0].tobytes() for v in vectors])
+
+    pairs = paired(packed, buckets, close_pairs(threshold), nodes.select("node", bytes_of("u").alias("c")), RUN)
+    doubtful = pairs.where("NOT sure")
+    u, v = nodes.toDF("x", "u"), nodes.toDF("y", "v")
+    exact = doubtful.join(u, "x").join(v, "y").select("x", "y", "u", "v").mapInArrow(_cosines(threshold), "x long, y long")
+    close = saved(pairs.where("sure").select("x", "y").unionAll(exact), "close")
+    dropped(packed, pairs, nodes)
+    return members, close
+
+
+def similar_vectors(rows: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = THRESHOLD, seed: int = SEED) -> DataFrame:
+    """(id_col, class_id, n_links) of every vector: the least id of its class, and how many vectors have at least this cosine with it."""
+    members, close = similar_nodes(rows, id_col, vector_col, threshold, seed)
+    some = classes(members.where("node IS NOT NULL"), close)
+    return some.unionAll(members.where("node IS NULL").select("id", F.col("id").alias("class_id"), F.lit(0).cast("long").alias("n_links"))).withColumnRenamed("id", id_col)
 
 
 def op6_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def with_near_copies(vectors: DataFrame) -> DataFrame:
+    """The vectors, and of every third two more: one longer by half, one with its first eight parts pushed by its id."""
+    copied = vectors.where("vec_id % 3 = 0")
+    longer = copied.select((F.col("vec_id") + 1_000_000_000).alias("vec_id"), F.transform("embedding", lambda x: (x * F.lit(1.5)).cast("double")).alias("embedding"))
+    pushed = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i < 8, (F.col("vec_id") % 7 - 3) * 0.01).otherwise(0.0))
+    return vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding")).unionAll(longer).unionAll(copied.select((F.col("vec_id") + 2_000_000_000).alias("vec_id"), pushed.alias("embedding")))
+
+
+def near_vectors_derived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The operator over the whole table and copies derived from it, since the given table's vectors are all far apart."""
+    return similar_vectors(with_near_copies(table(spark, sf_dir, "embeddings")))
+
+
+_CLASSES = """
+    p AS MATERIALIZED (SELECT a.vec_id AS p, b.vec_id AS q FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.9),
+    reached AS (SELECT p, q FROM p UNION SELECT r.p, l.q FROM reached r JOIN p l ON r.q = l.p),
+    least AS (SELECT p, min(q) AS q FROM reached GROUP BY 1), number AS (SELECT p, count(*) AS n FROM p GROUP BY 1)
+    SELECT vec_id, least(vec_id, coalesce(q, vec_id)) AS class_id, coalesce(n, 0)::BIGINT AS n_links
+    FROM v LEFT JOIN least ON least.p = vec_id LEFT JOIN number ON number.p = vec_id
+"""
 ORACLES = {
-    "op6_embedding_caps": """
-        WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
-        p AS (SELECT a.vec_id AS vec_a, b.vec_id AS vec_b, list_cosine_similarity(a.e, b.e) AS c FROM v a JOIN v b ON a.vec_id < b.vec_id AND len(a.e) = len(b.e))
-        SELECT vec_a, vec_b, round(c, 4) AS cosine FROM p WHERE c >= 0.9
-    """,
+    "op6_embedding_caps": f"WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL), {_CLASSES}",
+    "near_vectors_derived": f"""
+        WITH RECURSIVE v AS (
+            SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+            UNION ALL SELECT vec_id + 1000000000, list_transform(embedding, lambda x: x::DOUBLE * 1.5) FROM embeddings WHERE vec_id % 3 = 0
+            UNION ALL SELECT vec_id + 2000000000, list_transform(embedding, lambda x, i: x::DOUBLE + CASE WHEN i <= 8 THEN (vec_id % 7 - 3) * 0.01 ELSE 0 END) FROM embeddings WHERE vec_id % 3 = 0
+        ), {_CLASSES}""",
 }

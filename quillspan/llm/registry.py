@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
 from importlib import import_module
 
+from pyspark.sql import DataFrame, SparkSession
+
+from .common import text_batches
+
 #: query name -> module of this package that holds the function of that name
 NAMES = {
     "op1_pii_surrogates": "pii_surrogates",
@@ -16,11 +22,23 @@ NAMES = {
     "op8_token_counts": "token_counts",
     "op9_source_mixing": "mixing",
     "op10_rule_ensemble": "rule_ensemble",
+    "near_vectors_derived": "embedding_caps",
 }
 
 
-def queries() -> dict:
-    return {name: getattr(import_module(f"{__package__}.{module}"), name) for name, module in NAMES.items()}
+def _asked(module: str, name: str) -> Callable[[SparkSession, str], DataFrame]:
+    ask = getattr(import_module(f"{__package__}.{module}"), name)
+
+    @wraps(ask)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        text_batches(spark)
+        return ask(spark, sf_dir)
+
+    return run
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {name: _asked(module, name) for name, module in NAMES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
