@@ -6,10 +6,12 @@ at most ``k``, so it is found in one of the bands of width ``2 (k + 1)`` laid ev
 reach this count are verified by a banded alignment of the whole item. ``k`` is ``EDIT_RATE`` of ``m``, less where
 that would leave no q-gram to count on.
 
-Edges: null or empty texts match nothing; items of fewer than ``q`` signs carry too little evidence and match
-nothing; null ids are kept as nulls; repeated documents give the same rows again and repeated items each their own;
-an empty table on either side gives no row; only the named columns are read. The best of several passages is
-reported, on ties the first.
+An item matches as a whole: a document that holds only a part of one isn't found.
+
+Edges: null, empty and letterless texts match nothing; items of fewer than ``q`` signs have no q-gram to count and match
+exactly, between word boundaries; null ids are kept as nulls and ids may be of any type; repeated documents give the same rows
+again and repeated items each their own; an empty table on either side gives no row; only the named columns are read, whatever
+others are called. Of several passages the one of fewest edits is reported.
 """
 
 from __future__ import annotations
@@ -23,13 +25,14 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import IntegerType, StructType
 
-from .common import GOLD, U64, claim, folded, mix, slices, table, text_batches
+from .common import GOLD, U64, claim, col, folded, mix, slices, table, text_batches, type_of
 
 Q, EDIT_RATE = 10, 0.08
 #: Signs of benchmark text in one broadcast index; a larger benchmark is searched in several passes, each of this size.
 INDEX_CHARS = 8_000_000
-_BLOOM_BITS = 22
 
 
 def budget(m: int, rate: float = EDIT_RATE, q: int = Q) -> int:
@@ -57,27 +60,31 @@ def _rolling(codes: np.ndarray, q: int) -> np.ndarray:
 
 @dataclass
 class Index:
-    ids: np.ndarray
-    null_id: np.ndarray
+    ids: pa.Array
     texts: list[np.ndarray]
     keys: np.ndarray  # sorted distinct q-gram hashes
     first: np.ndarray  # postings of key i: first[i] .. first[i + 1]
     item: np.ndarray
     place: np.ndarray
     bloom: np.ndarray
+    shift: np.uint64  # of a hash to its place in the filter
+    short: list[tuple[int, np.ndarray, np.ndarray]]  # (signs, sorted hashes of short items between spaces, their items)
     budgets: np.ndarray
     needed: np.ndarray
     q: int
     key: str
 
 
-def build_index(ids: list, texts: list[str | None], q: int = Q, rate: float = EDIT_RATE) -> Index:
+def build_index(ids: pa.Array, texts: list[str | None], q: int = Q, rate: float = EDIT_RATE) -> Index:
     codes, starts = folded(texts)
-    parts, hashes, item, place = [], [], [], []
+    parts, hashes, item, place, small = [], [], [], [], {}
     for i in range(len(texts)):
         text = codes[starts[i] + 1 : starts[i + 1]]
         text = text[:-1] if len(text) and text[-1] == 32 else text
         parts.append(text)
+        if 0 < len(text) < q:
+            between = np.concatenate([[32], text, [32]]).astype(np.uint32)
+            small.setdefault(len(text), []).append((_rolling(between, len(between))[0], i))
         if len(text) >= q:
             h = _rolling(text, q)[: len(text) - q + 1]
             hashes.append(h)
@@ -86,12 +93,19 @@ def build_index(ids: list, texts: list[str | None], q: int = Q, rate: float = ED
     h = np.concatenate(hashes) if hashes else np.zeros(0, dtype=U64)
     order = np.argsort(h, kind="stable")
     keys, first = np.unique(h[order], return_index=True)
-    bloom = np.zeros(1 << _BLOOM_BITS, dtype=bool)
-    bloom[keys >> U64(64 - _BLOOM_BITS)] = True
+    bits = min(26, max(16, int(len(keys) * 8).bit_length()))  # an eighth full at most, up to 8 million grams
+    shift = U64(64 - bits)
+    bloom = np.zeros(1 << bits, dtype=bool)
+    bloom[keys >> shift] = True
+    short = []
+    for m, found in sorted(small.items()):
+        h_short, which = np.array([x for x, _ in found], dtype=U64), np.array([i for _, i in found], dtype=np.int64)
+        by_hash = np.argsort(h_short, kind="stable")
+        short.append((m, h_short[by_hash], which[by_hash]))
     sizes = np.array([len(t) for t in parts], dtype=np.int64)
     budgets = np.array([budget(m, rate, q) for m in sizes], dtype=np.int64)
     cat = lambda xs: np.concatenate(xs)[order] if xs else np.zeros(0, dtype=np.int32)
-    return Index(np.array([0 if x is None else x for x in ids], dtype=np.int64), np.array([x is None for x in ids], dtype=bool), parts, keys, np.append(first, len(h)), cat(item), cat(place), bloom, budgets, np.maximum(1, sizes - q + 1 - budgets * q), q, uuid.uuid4().hex)
+    return Index(ids, parts, keys, np.append(first, len(h)), cat(item), cat(place), bloom, shift, short, budgets, np.maximum(1, sizes - q + 1 - budgets * q), q, uuid.uuid4().hex)
 
 
 def banded_distance(item: np.ndarray, region: np.ndarray, low: int, high: int, most: int) -> int:
@@ -127,12 +141,33 @@ class Searcher:
 
     def matches(self, texts: list[str | None]) -> list[tuple[int, int, int]]:
         """(text, item, fewest edits) of every text that holds a passage within the item's budget."""
-        x = self.index
         codes, starts = folded(texts)
+        return self._short(codes, starts) + self._long(codes, starts, len(texts))
+
+    def _short(self, codes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int]]:
+        """Items of fewer signs than a gram, as whole words. The space before the next text, or one more, ends the last word."""
+        found: set[tuple[int, int]] = set()
+        if self.index.short and len(codes):
+            codes = np.append(codes, np.uint32(32))
+        for m, hashes, items in self.index.short:
+            if len(codes) < m + 2:
+                continue
+            h = _rolling(codes, m + 2)[: len(codes) - m - 1]
+            low = np.searchsorted(hashes, h)
+            at = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == h)
+            doc = np.searchsorted(starts, at, side="right") - 1
+            inside = at + m + 1 <= starts[doc + 1]
+            for d, i in zip(doc[inside], low[at[inside]]):
+                to = np.searchsorted(hashes, hashes[i], side="right")
+                found |= {(int(d), int(k)) for k in items[i:to]}
+        return [(d, i, 0) for d, i in sorted(found)]
+
+    def _long(self, codes: np.ndarray, starts: np.ndarray, n_texts: int) -> list[tuple[int, int, int]]:
+        x = self.index
         if len(codes) < x.q or not len(x.keys):
             return []
         h = _rolling(codes, x.q)
-        at = np.flatnonzero(x.bloom[h >> U64(64 - _BLOOM_BITS)])
+        at = np.flatnonzero(x.bloom[h >> x.shift])
         key = np.minimum(np.searchsorted(x.keys, h[at]), len(x.keys) - 1)
         hit = x.keys[key] == h[at]
         at, key = at[hit], key[hit]
@@ -140,7 +175,7 @@ class Searcher:
         inside = at + x.q <= starts[doc + 1]
         at, key, doc = at[inside], key[inside], doc[inside]
         # a text with fewer hits than any item needs holds none
-        enough = np.bincount(doc, minlength=len(texts))[doc] >= x.needed.min()
+        enough = np.bincount(doc, minlength=n_texts)[doc] >= x.needed.min()
         at, key, doc = at[enough], key[enough], doc[enough]
         if not len(at):
             return []
@@ -192,11 +227,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     The items' index is broadcast in parts of at most ``INDEX_CHARS`` signs, one pass over the documents each.
     """
     spark = docs.sparkSession
-    schema = f"{id_col} long, item_id long, edits int, budget int"
+    schema = StructType().add(id_col, type_of(docs, id_col)).add("item_id", type_of(benchmark, item_id)).add("edits", IntegerType()).add("budget", IntegerType())
+    item_type = to_arrow_type(type_of(benchmark, item_id))
     out, ids, texts, size = None, [], [], 0
 
     def searched() -> DataFrame:
-        shared = spark.sparkContext.broadcast(build_index(ids, texts, q, rate))
+        shared = spark.sparkContext.broadcast(build_index(pa.array(ids, item_type), texts, q, rate))
 
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             claim("decontamination", _searchers.clear)
@@ -210,13 +246,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                     if hits := _searchers[index.key].matches(part.column(1).to_pylist()):
                         rows, items, edits = map(np.array, zip(*hits))
                         yield pa.RecordBatch.from_arrays(
-                            [part.column(0).cast(pa.int64()).take(pa.array(rows)), pa.array(index.ids[items], mask=index.null_id[items]), pa.array(edits.astype(np.int32)), pa.array(index.budgets[items].astype(np.int32))],
+                            [part.column(0).take(pa.array(rows)), index.ids.take(pa.array(items)), pa.array(edits.astype(np.int32)), pa.array(index.budgets[items].astype(np.int32))],
                             names=[id_col, "item_id", "edits", "budget"],
                         )
 
-        return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(found, schema)
+        return docs.select(col(id_col), col(text_col)).mapInArrow(found, schema)
 
-    for row in benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(item_text).alias("t")).toLocalIterator():
+    for row in benchmark.select(col(item_id).alias("i"), col(item_text).alias("t")).toLocalIterator():
         if size + len(row.t or "") > INDEX_CHARS and ids:
             out = searched() if out is None else out.unionAll(searched())
             ids, texts, size = [], [], 0
@@ -244,7 +280,7 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     spark, texts, size, conditions = docs.sparkSession, [], 0, []
 
     def clean():
-        shared = spark.sparkContext.broadcast(build_index([None] * len(texts), texts, q, rate))
+        shared = spark.sparkContext.broadcast(build_index(pa.nulls(len(texts)), texts, q, rate))
 
         @F.pandas_udf("boolean")
         def holds(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -252,9 +288,9 @@ def without_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
             for batch in batches:
                 yield flagged(batch, shared.value)
 
-        return ~holds(F.col(text_col))
+        return ~holds(col(text_col))
 
-    for row in benchmark.select(F.col(item_text).alias("t")).toLocalIterator():
+    for row in benchmark.select(col(item_text).alias("t")).toLocalIterator():
         if size + len(row.t or "") > INDEX_CHARS and texts:
             conditions.append(clean())
             texts, size = [], 0

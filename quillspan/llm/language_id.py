@@ -9,7 +9,8 @@ language and of such a length stay under.
 
 Edges: null, empty and letterless texts have no language (null), a null cross-entropy and are rejected; a row with
 null ``lang`` is no training row but is scored; repeated rows are scored alike; with no labelled row at all every row
-is rejected; only the named columns are read, and others pass untouched where rows are returned whole.
+is rejected; rows of null id are like others; only the named columns are read, and others pass untouched, whatever their names,
+where rows are returned whole. A tie in cross-entropy goes to the first language by name.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import GOLD, U64, claim, folded, mix, saved, slices, table, text_batches
+from .common import GOLD, U64, claim, col, folded, fresh, mix, saved, slices, table, text_batches
 
 ORDER, SAMPLE_DOCS, FALSE_REJECTION = 5, 800, 0.002
 #: Languages of which a worker holds models at once; of more, texts are scored in passes.
@@ -176,7 +177,7 @@ class Scorer:
 
 def sample_of_labelled(docs: DataFrame, id_col: str, text_col: str, lang_col: str, n: int) -> DataFrame:
     """(language, rank, text): of each language the n labelled documents of the lowest hash of id and text."""
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("language"), F.xxhash64(F.col(id_col), F.lit(17)).alias("h"), F.col(text_col).alias("t"))
+    rows = docs.where(col(lang_col).isNotNull() & col(text_col).isNotNull()).select(col(lang_col).cast("string").alias("language"), F.xxhash64(col(id_col), col(text_col), F.lit(17)).alias("h"), col(text_col).alias("t"))
     of_each = Window.partitionBy("language").orderBy("h")
     lowest = rows.select("language", "h").withColumn("rank", F.row_number().over(of_each)).where(F.col("rank") <= n)
     last = lowest.groupBy("language").agg(F.max("h").alias("last"))  # a row a language, so it can be broadcast
@@ -291,24 +292,27 @@ def _decided(model: Model, ce: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
     })
 
 
-def identified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with one more column ``language_id`` (struct of SCHEMA). Map-only for at most ``MOST_LANGUAGES``; of more, each pass over them saves docs with the best so far."""
+def identified(docs: DataFrame, model: Model, text_col: str = "text", result: str = "language_id") -> DataFrame:
+    """docs with one more column ``result`` (struct of SCHEMA). Map-only for at most ``MOST_LANGUAGES``; of more, each pass over them saves docs with the best so far."""
+    if result.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"docs has a column {result}")
+    (more,) = fresh(docs, "next_result")
 
     def scored(part: Model) -> Column:
         shared = docs.sparkSession.sparkContext.broadcast(replace(part, more=[]))
-        return F.pandas_udf(_typed(_scored(shared)), SCHEMA).asNondeterministic()(F.col(text_col))  # else a filter on it scores every text twice
+        return F.pandas_udf(_typed(_scored(shared)), SCHEMA).asNondeterministic()(col(text_col))  # else a filter on it scores every text twice
 
-    done = docs.withColumn("language_id", scored(model))
+    done = docs.withColumn(result, scored(model))
     for part in model.more:
         if part.languages:
-            both = saved(done.withColumn("__next", scored(part)), "languages")
-            done = both.withColumn("language_id", _lower("language_id", "__next", len(model.languages) == 1 and part is model.more[0], len(part.languages) == 1)).drop("__next")
+            both = saved(done.withColumn(more, scored(part)), "languages")
+            done = both.withColumn(result, _lower(result, more, len(model.languages) == 1 and part is model.more[0], len(part.languages) == 1)).drop(more)
     return done
 
 
 def _lower(one: str, other: str, lone: bool, other_lone: bool) -> Column:
     """Of two results the one of the lower cross-entropy, the first on ties, with the margin to the second of all; a lone model has no margin of its own."""
-    a, b = F.col(one), F.col(other)
+    a, b = col(one), col(other)
     gap = F.abs(a["cross_entropy"] - b["cross_entropy"])
     margin = lambda x, alone: gap if alone else F.least(gap, x["margin"])
     first = a.withField("margin", margin(a, lone))
@@ -330,5 +334,6 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: rejected documents go; ``lang`` of the others becomes the language found."""
     text_batches(spark)
-    found = identified(docs, fit(docs)).where("language_id.accepted")
-    return found.withColumn("lang", F.col("language_id.language")).select(docs.columns)
+    (result,) = fresh(docs, "language_id")
+    found = identified(docs, fit(docs), result=result).where(F.col(result)["accepted"])
+    return found.withColumn("lang", F.col(result)["language"]).select([col(c) for c in docs.columns])

@@ -9,7 +9,7 @@ Edges: a null text has null statistics, a null score and ``keep`` false; an empt
 labels without a document or of null quality are no training rows, repeated labels count each; with no labelled row, or
 labels of one kind only, every text gets that kind's share (1 with none) as its score; ties at a cut go left;
 an empty table gives an empty result; columns but those named are passed on, except that ``quality_score`` and ``keep`` are
-replaced.
+replaced; other columns may have any names. Rows of null id are scored; ids may be of any type.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import col, fresh, table
 
 #: Labelled rows that are used at most: those of the lowest hash of their id.
 SAMPLE_ROWS = 20_000
@@ -205,22 +205,23 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleModel:
 
 def labelled_statistics(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Statistics and labels of at most ``sample_rows`` labelled documents, in order of their id's hash."""
-    sample = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(id_col).alias("__id"), F.col(label_col).cast("int").alias("__y")).orderBy(F.xxhash64("__id"), "__id", "__y").limit(sample_rows)
+    sample = labels.where(col(id_col).isNotNull() & col(label_col).isNotNull()).select(col(id_col).alias("id"), col(label_col).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(sample_rows)
     # the sample is bounded by its parameter, so it may be broadcast whatever the size of the corpus
-    texts = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("__doc"), F.col(text_col).alias("__text"))
-    joined = texts.join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
-    got = joined.select(F.xxhash64("__id").alias("h"), F.col("__y").alias("y"), *[c.alias(n) for n, c in statistics(F.col("__text")).items()]).toPandas()
+    texts = docs.where(col(text_col).isNotNull()).select(col(id_col).alias("doc"), col(text_col).alias("text"))
+    joined = texts.join(F.broadcast(sample), F.col("doc") == F.col("id"))
+    got = joined.select(F.xxhash64("id").alias("h"), "y", *[c.alias(n) for n, c in statistics(F.col("text")).items()]).toPandas()
     got = got.sort_values(["h", "y", *NAMES], kind="stable")
     return got[list(NAMES)].to_numpy(dtype=float), (got["y"].to_numpy() > 0).astype(float)
 
 
 def with_quality(docs: DataFrame, model: RuleModel, text_col: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
     """docs with ``quality_score`` and ``keep``; one projection of built-in expressions."""
-    stats = statistics(F.col(text_col))
-    rows = docs.withColumn("__stats", F.struct(*[c.alias(n) for n, c in stats.items()]))
-    score = F.when(F.col(text_col).isNotNull(), model.column({n: F.col(f"__stats.{n}") for n in NAMES}))
+    stats = statistics(col(text_col))
+    (held,) = fresh(docs, "stats")
+    rows = docs.withColumn(held, F.struct(*[c.alias(n) for n, c in stats.items()]))
+    score = F.when(col(text_col).isNotNull(), model.column({n: F.col(held)[n] for n in NAMES}))
     rows = rows.withColumn("quality_score", score)
-    return rows.withColumn("keep", F.coalesce(F.col("quality_score") >= keep_at, F.lit(False))).drop("__stats")
+    return rows.withColumn("keep", F.coalesce(F.col("quality_score") >= keep_at, F.lit(False))).drop(held)
 
 
 def train(docs: DataFrame, labels: DataFrame, **options) -> RuleModel:

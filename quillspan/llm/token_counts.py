@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import claim, table
+from .common import claim, col, table
 from .vocabulary import DEFAULT_VOCABULARY, PATTERN, PieceCache, pattern_of, ranks_of, read_vocabulary
 
 
@@ -80,7 +80,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for texts in batches:
             yield pd.Series([None if t is None else count_tokens(t, raw.value, pattern) for t in texts], dtype="Int64")
 
-    return docs.select(F.col(id_col), n_tokens(F.col(text_col)).alias("n_tokens"))
+    return docs.select(col(id_col), n_tokens(col(text_col)).alias("n_tokens"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
