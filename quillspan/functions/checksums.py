@@ -49,3 +49,22 @@ def luhn_control(base: Column, length: int) -> Column:
             d = F.when(d * 2 > 9, d * 2 - 9).otherwise(d * 2)
         out = out + d
     return (F.lit(10) - out % 10) % 10
+
+
+# ---------------------------------------------------------------- plain strings, for the rules' scan
+
+
+def snils_holds(number: str) -> bool:
+    if len(number) != 11 or not number.isascii():
+        return False
+    total = sum(int(d) * w for d, w in zip(number, range(9, 0, -1)))
+    return (total if total < 100 else total % 101) % 100 == int(number[9:])
+
+
+def inn_holds(number: str) -> bool:
+    if len(number) != 12 or not number.isascii():
+        return False
+    d = [int(c) for c in number]
+    first = sum(x * w for x, w in zip(d, (7, 2, 4, 10, 3, 5, 9, 4, 6, 8))) % 11 % 10
+    second = sum(x * w for x, w in zip(d, (3, 7, 2, 4, 10, 3, 5, 9, 4, 6, 8))) % 11 % 10
+    return (first, second) == (d[10], d[11])

@@ -1,15 +1,22 @@
-"""Numeric personal data in Russian transcripts: rules, normal forms, overlap, masks. Catalyst expressions only."""
+"""Numeric personal data in Russian transcripts: rules, normal forms, overlap, masks.
+
+Normal forms are Catalyst expressions; the rules themselves run in one linear scan of each text in Arrow batches.
+"""
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, replace
 from datetime import date
+from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .checksums import inn_valid, snils_valid
-from .text import _col, cut, digits_only, find_spans, let, resolve, splice
+from . import scan
+from .checksums import inn_holds, snils_holds
+from .text import _col, digits_only, let, splice
 
 _FLAGS = "(?iuU)"
 _SEP, _REQ = r"[\s \-–—().]*", r"[\s \-–—()./]+"
@@ -119,55 +126,103 @@ def normalize_pii(kind: Column, value: Column, as_of: date | None = None) -> Col
     return out
 
 
-def _candidates(text: Column, rule: Rule, order: int, as_of: date | None) -> Column:
-    valid = {"SNILS": snils_valid, "INN": inn_valid}.get(rule.type)
-
-    def trimmed(s: Column) -> Column:
-        return F.struct(s["start"].alias("start"), F.regexp_replace(s["raw"], r"(?U)\s+$", "").alias("raw"))
-
-    def looked(s: Column) -> Column:
-        end = s["start"] + F.length(s["raw"])
-        return F.struct(
-            s["start"].alias("start"), s["raw"].alias("raw"), end.alias("end"), normal_value(rule.type, s["raw"], as_of).alias("normal"), cut(text, s["start"] - rule.before, end + rule.after).alias("scope"),
-        )
-
-    def judged(s: Column) -> Column:
-        checked = valid(s["normal"]) if valid else F.lit(None).cast("boolean")
-        return F.struct(s["start"].alias("start"), s["raw"].alias("raw"), s["end"].alias("end"), s["normal"].alias("normal"), s["scope"].alias("scope"), s["scope"].rlike(_FLAGS + rule.positive).alias("hit"), checked.alias("checked"))
-
-    def candidate(s: Column) -> Column:
-        score = F.lit(rule.base) + F.when(s["hit"], 0.12).otherwise(0.0) + F.when(s["checked"], 0.08).when(~s["checked"], -0.03).otherwise(0.0)
-        return F.struct(
-            F.lit(-rule.priority).alias("rank"), (-F.least(F.greatest(score, F.lit(0.01)), F.lit(0.99))).alias("doubt"), (-F.length(s["raw"])).alias("shortness"), s["start"].alias("start"), F.lit(order).alias("order"), s["end"].alias("end"),
-            F.lit(rule.type).alias("type"), s["raw"].alias("value"), s["normal"].alias("normalized"), F.lit(rule.name).alias("rule"), s["scope"].alias("context"),
-            F.length(digits_only(s["normal"])).alias("length"), s["checked"].alias("checksum_valid"), s["hit"].alias("in_context"),
-        )
-
-    # each step names what the next ones use, so that nothing is computed twice
-    seen = F.filter(F.transform(F.transform(find_spans(text, rule.pattern), trimmed), looked), lambda s: s["normal"].isNotNull() & ~s["scope"].rlike(_FLAGS + rule.negative))
-    found = F.transform(F.transform(seen, judged), candidate)
-    return F.filter(found, lambda c: c["in_context"]) if rule.required else found
-
-
-def pii_candidates(text: Column | str, rules: list[Rule] | None = None, as_of: date | None = None) -> Column:
-    """All accepted candidates of all rules, in order of preference. Rules are tried only on texts that have digits and, where
-    a rule needs context, that context anywhere."""
-    text = _col(text)
-    parts = []
-    for order, rule in enumerate(default_rules() if rules is None else rules):
-        here = text.rlike(r"\d") & (text.rlike(_FLAGS + rule.positive) if rule.required else F.lit(True))
-        found = _candidates(F.when(here, text).otherwise(F.lit("")), rule, order, as_of)
-        parts.append(found)
-    return F.array_sort(F.concat(*parts))
+@lru_cache(maxsize=100_000)
+def _date_of(value: str, last: int) -> str | None:
+    groups = re.findall("[0-9]+", value)
+    if len(groups) < 3:
+        d = scan.compiled(r"(?U)\D").sub("", value)
+        groups = [d[:2], d[2:4], d[4:]] if len(d) == 8 and d.isascii() else []
+    if not groups:
+        return None
+    day, month, year = groups[:3]
+    if len(year) > 4 or len(month) > 2 or len(day) > 2 or not 1900 <= int(year) <= last:
+        return None
+    try:
+        return date(int(year), int(month), int(day)).strftime("%d.%m.%Y")
+    except ValueError:
+        return None
+
+
+def plain_value(kind: str, value: str, last_year: int) -> str | None:
+    """The normal form of a value, null where it has none; ``normal_value`` for plain strings."""
+    if kind == "DATE_BIRTH":
+        return _date_of(value, last_year)
+    digits = scan.compiled(r"(?U)\D").sub("", value)
+    if kind == "PHONE":
+        return f"+7{digits[-10:]}" if re.fullmatch("[78]?9[0-9]{9}", digits) else None
+    if kind == "AGE":
+        return str(int(digits)) if digits.isascii() and digits and len(digits) < 10 and int(digits) <= 120 else None
+    low, high = _LENGTHS[kind]
+    return digits if low <= len(digits) <= high else None
+
+
+class Scanner:
+    """Finds the data of all rules in a text."""
+
+    def __init__(self, rules: list[Rule] | None = None, as_of: date | None = None):
+        self.rules = default_rules() if rules is None else rules
+        self.last_year = (as_of or date.today()).year
+        self.patterns = [(scan.compiled(r.pattern), scan.compiled(_FLAGS + r.positive), scan.compiled(_FLAGS + r.negative)) for r in self.rules]
+        self.digit, self.tail = re.compile("[0-9]"), scan.compiled(r"(?U)\s+\Z")
+
+    def candidates(self, text: str) -> list[tuple]:
+        """All accepted candidates in order of preference: (-priority, -confidence, -length, start, rule, end, raw, normal form, context, checksum, context hit)."""
+        out = []
+        if not self.digit.search(text):
+            return out
+        for order, (rule, (value, positive, negative)) in enumerate(zip(self.rules, self.patterns)):
+            if rule.required and not positive.search(text):
+                continue
+            for m in value.finditer(text):
+                start, raw = m.start(), self.tail.sub("", m[0])
+                normal = plain_value(rule.type, raw, self.last_year)
+                if normal is None:
+                    continue
+                end = start + len(raw)
+                context = text[max(start - rule.before, 0) : end + rule.after]
+                if negative.search(context):
+                    continue
+                hit = positive.search(context) is not None
+                if rule.required and not hit:
+                    continue
+                checked = snils_holds(normal) if rule.type == "SNILS" else inn_holds(normal) if rule.type == "INN" else None
+                score = rule.base + (0.12 if hit else 0.0) + (0.0 if checked is None else 0.08 if checked else -0.03)
+                out.append((-rule.priority, -min(max(score, 0.01), 0.99), -len(raw), start, order, end, raw, normal, context, checked, hit))
+        out.sort(key=lambda c: c[:6])
+        return out
+
+    def matches(self, text: str) -> list[tuple]:
+        """Of the candidates those that no preferred one overlaps, in order of their places."""
+        found = self.candidates(text)
+        return [found[i] for i in scan.disjoint([c[3] for c in found], [c[5] for c in found])]
+
+
+_MATCH = {
+    "type": pa.string(), "start": pa.int32(), "end": pa.int32(), "value": pa.string(), "normalized": pa.string(), "confidence": pa.float64(), "rule": pa.string(), "context": pa.string(),
+    "metadata": pa.struct([("length", pa.int32()), ("checksum_valid", pa.bool_()), ("positive_context_hit", pa.bool_()), ("priority", pa.int32())]),
+}
+MATCH_TYPE = "array<struct<type:string,start:int,end:int,value:string,normalized:string,confidence:double,rule:string,context:string,metadata:struct<length:int,checksum_valid:boolean,positive_context_hit:boolean,priority:int>>>"
 
 
 def find_pii(text: Column | str, rules: list[Rule] | None = None, as_of: date | None = None) -> Column:
-    """array<struct<type,start,end,value,normalized,confidence,rule,context,metadata>> without overlap, in order; empty for a null text."""
-    kept = resolve(pii_candidates(F.coalesce(_col(text), F.lit("")), rules, as_of))
-    return F.transform(kept, lambda m: F.struct(
-        m["type"].alias("type"), m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["normalized"].alias("normalized"), (-m["doubt"]).alias("confidence"), m["rule"].alias("rule"), m["context"].alias("context"),
-        F.struct(m["length"].alias("length"), m["checksum_valid"].alias("checksum_valid"), m["in_context"].alias("positive_context_hit"), (-m["rank"]).alias("priority")).alias("metadata"),
-    ))
+    """array<struct<type,start,end,value,normalized,confidence,rule,context,metadata>> without overlap, in order; empty for a null text.
+
+    All rules run in one scan; a rule is tried only on texts that have digits and, where it needs context, that context anywhere.
+    """
+    given = default_rules() if rules is None else rules
+    made: list[Scanner] = []  # patterns are compiled in the worker
+
+    def read(t: str, out: scan.Lists) -> None:
+        if not made:
+            made.append(Scanner(given, as_of))
+        for rank, doubt, _, start, order, end, raw, normal, context, checked, hit in made[0].matches(t):
+            rule = given[order]
+            digits = sum(map(str.isdecimal, normal))
+            row = (rule.type, start, end, raw, normal, -doubt, rule.name, context, {"length": digits, "checksum_valid": checked, "positive_context_hit": hit, "priority": -rank})
+            for name, x in zip(_MATCH, row):
+                out.values[name].append(x)
+
+    return scan.scanned(MATCH_TYPE, _MATCH, read, empty_for_null=True)(_col(text))
 
 
 def mask(text: Column | str, matches: Column, replacements: dict[str, str] | None = None) -> Column:

@@ -1,13 +1,17 @@
-"""Punctuation removal that keeps numbers, addresses and domains whole. Catalyst expressions only."""
+"""Punctuation removal that keeps numbers, addresses and domains whole: one linear scan of each text in Arrow batches."""
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import _col, cut, find_spans
+from . import scan
+from .text import _col
 
 _ENDINGS = "com org net ru рф ком su io ai app dev gov edu info biz me co uk de fr cn jp kz by ua бел рус москва онлайн сайт".split()
 _L = "A-Za-zА-Яа-яЁё"
@@ -28,66 +32,96 @@ class PunctuationConfig:
     replacement: str = " "
 
 
-def _for_reason(spans: Column, reason: str) -> Column:
-    return F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(reason).alias("reason")))
+_KINDS = ((NUMERIC, "numeric_separator", "keep_numeric", ""), (URL, "url", "keep_urls", "://"), (EMAIL, "email", "keep_emails", "@"), (DOMAIN, "domain", "keep_domains", "."))
+
+
+def protected_places(text: str, config: PunctuationConfig) -> list[tuple[int, int, str]]:
+    """(start, end, reason), in order; spans that overlap or touch are one."""
+    found = []
+    for pattern, reason, on, hint in _KINDS:
+        if getattr(config, on) and hint in text:
+            found += [(m.start(), m.end(), reason) for m in scan.compiled(pattern).finditer(text)]
+    out: list[tuple[int, int, str]] = []
+    for a, b, reason in sorted(found):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b), reason if out[-1][2] == reason else "mixed_protected"
+        else:
+            out.append((a, b, reason))
+    return out
 
 
 def protected_spans(text: Column | str, config: PunctuationConfig = PunctuationConfig()) -> Column:
     """array<struct<start,end,raw,reason>>, in order; spans that overlap or touch are one, of mixed reasons ``mixed_protected``."""
-    text = _col(text)
-    kinds = [(NUMERIC, "numeric_separator", config.keep_numeric, r"\d[-.,:/]\d"), (URL, "url", config.keep_urls, "://"), (EMAIL, "email", config.keep_emails, "@"), (DOMAIN, "domain", config.keep_domains, r"\.")]
-    parts = []
-    for pattern, reason, on, hint in kinds:
-        if on:
-            found = find_spans(F.when(text.rlike(hint), text).otherwise(F.lit("")), pattern)
-            parts.append(_for_reason(found, reason))
-    if not parts:
-        return F.from_json(F.lit("[]"), "array<struct<start:int,end:int,raw:string,reason:string>>")
-    ordered = F.array_sort(F.concat(*parts))
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        reason = F.when(last["reason"] == s["reason"], last["reason"]).otherwise(F.lit("mixed_protected"))
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), reason.alias("reason"))
-        return F.when(s["start"] <= last["end"], F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(joined))).otherwise(F.concat(acc, F.array(s)))
+    def read(t: str, out: scan.Lists) -> None:
+        for a, b, reason in protected_places(t, config):
+            for name, x in (("start", a), ("end", b), ("raw", t[a:b]), ("reason", reason)):
+                out.values[name].append(x)
 
-    joined = F.aggregate(ordered, F.filter(ordered, lambda _: F.lit(False)), lambda acc, s: F.when(F.size(acc) == 0, F.array(s)).otherwise(step(acc, s)))
-    return F.transform(joined, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), cut(text, s["start"], s["end"]).alias("raw"), s["reason"].alias("reason")))
+    return scan.scanned("array<struct<start:int,end:int,raw:string,reason:string>>", {"start": pa.int32(), "end": pa.int32(), "raw": pa.string(), "reason": pa.string()}, read, empty_for_null=True)(_col(text))
 
 
-def _tidy(text: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), r" ([.?!])", "$1"))
+def _signs(config: PunctuationConfig) -> str:
+    return r"(?U)(?![.?!])[\p{P}№]" if config.keep_sentence_final else r"(?U)[\p{P}№]"
 
 
-def without_punctuation(text: Column | str, config: PunctuationConfig = PunctuationConfig()) -> Column:
-    """The text with every run of punctuation outside protected spans as one replacement. A null stays null."""
-    text = _col(text)
+def plain_text(text: str, config: PunctuationConfig = PunctuationConfig()) -> str:
+    """The text with every sign of punctuation outside protected spans as one replacement, and white space tidied."""
     if not config.enabled:
         return text
-    signs = r"[\p{P}№&&[^.?!]]" if config.keep_sentence_final else r"[\p{P}№]"
-    run = rf"(?U){signs}+"
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    signs, by = scan.compiled(_signs(config)), config.replacement
+    out, at = [], 0
+    for a, b, _ in [*protected_places(text, config), (len(text), len(text), "")]:
+        if not by or by.isspace():
+            out += [signs.sub(by, text[at:a]), text[a:b]]
+        else:
+            for m in signs.finditer(text, at, a):
+                if text[at : m.start()]:
+                    out.append(text[at : m.start()])
+                if not (out and out[-1][-1].isspace()):  # none right after white space
+                    out.append(by)
+                at = m.end()
+            out += [x for x in (text[at:a], text[a:b]) if x]
+        at = b
+    tidy = scan.compiled(r"(?U)\s+").sub(" ", "".join(out))
+    return re.sub(r" ([.?!])", r"\1", tidy).strip(" ")
 
-    def step(s: Column, span: Column) -> Column:
-        gap = F.regexp_replace(cut(text, s["at"], span["start"]), run, config.replacement)
-        return F.struct(span["end"].alias("at"), F.concat(s["out"], gap, span["raw"]).alias("out"))
 
-    cleaned = F.aggregate(protected_spans(text, config), state, step, lambda s: F.concat(s["out"], F.regexp_replace(cut(text, s["at"], F.length(text)), run, config.replacement)))
-    return _tidy(cleaned)
+def without_punctuation(text: Column | str, config: PunctuationConfig = PunctuationConfig()) -> Column:
+    """The text with every sign of punctuation outside protected spans as one replacement. A null stays null."""
+    if not config.enabled:
+        return _col(text)
+
+    @F.arrow_udf("string")
+    def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([None if t is None else plain_text(t, config) for t in batch.to_pylist()], pa.string())
+
+    return clean(_col(text))
+
+
+def removed_places(text: str, config: PunctuationConfig = PunctuationConfig()) -> list[tuple[int, int]]:
+    """The runs of signs that go."""
+    kept, runs, k = protected_places(text, config), [], 0
+    for m in scan.compiled(_signs(config)).finditer(text):
+        a = m.start()
+        while k < len(kept) and kept[k][1] <= a:
+            k += 1
+        if k < len(kept) and kept[k][0] <= a:
+            continue
+        if runs and runs[-1][1] == a:
+            runs[-1] = runs[-1][0], a + 1
+        else:
+            runs.append((a, a + 1))
+    return runs
 
 
 def removed_punctuation(text: Column | str, config: PunctuationConfig = PunctuationConfig()) -> Column:
     """array<struct<start,end,raw>>: the runs that go, for audit."""
-    text = _col(text)
-    kept = protected_spans(text, config)
-    signs = r"[\p{P}№&&[^.?!]]" if config.keep_sentence_final else r"[\p{P}№]"
-    single = F.filter(find_spans(text, f"(?U){signs}"), lambda s: ~F.exists(kept, lambda k: (k["start"] <= s["start"]) & (s["end"] <= k["end"])))
-    empty = F.filter(F.transform(single, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))), lambda _: F.lit(False))
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        now = F.struct(s["start"].alias("start"), s["end"].alias("end"))
-        return F.when(last["end"] == s["start"], F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), s["end"].alias("end"))))).otherwise(F.concat(acc, F.array(now)))
-
-    runs = F.aggregate(single, empty, lambda acc, s: F.when(F.size(acc) == 0, F.array(F.struct(s["start"].alias("start"), s["end"].alias("end")))).otherwise(step(acc, s)))
-    return F.transform(runs, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), cut(text, r["start"], r["end"]).alias("raw")))
+
+    def read(t: str, out: scan.Lists) -> None:
+        for a, b in removed_places(t, config):
+            for name, x in (("start", a), ("end", b), ("raw", t[a:b])):
+                out.values[name].append(x)
+
+    return scan.scanned("array<struct<start:int,end:int,raw:string>>", {"start": pa.int32(), "end": pa.int32(), "raw": pa.string()}, read)(_col(text))

@@ -1,13 +1,20 @@
-"""Spans of a text column: search, cut, splice, tokens. Offsets are code points, half-open; all of it stays in the JVM."""
+"""Spans of a text column: search, cut, splice, tokens. Offsets are code points, half-open.
+
+What finds or joins many places in a text runs as a linear scan in Arrow batches: expressions over arrays would copy what they have found at
+every step, and count code points from the text's begin for every cut. The rest stays in the JVM.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_OPEN, _CLOSE = "\ue000", "\ue001"
+from . import scan
+
+_FOLDED = str.maketrans("ё—–−", "е---")
 TOKEN = r"(?U)\d+|[A-Za-zА-Яа-яЁё]+|[^\w\s]"
 
 
@@ -21,22 +28,8 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def find_spans(text: Column | str, pattern: str) -> Column:
-    """array<struct<start,end,raw>> of all matches that don't overlap, left to right. The pattern must not match nothing.
-
-    Matches are marked by two private-use signs; where the text has these itself, they stand for others while searching.
-    """
-    text = _col(text)
-    parts = F.split(F.regexp_replace(F.translate(text, _OPEN + _CLOSE, "\ufffd\ufffd"), pattern, f"{_OPEN}$0{_CLOSE}"), f"[{_OPEN}{_CLOSE}]", -1)
-    empty = F.filter(F.array(F.struct(F.lit(0).alias("start"), F.lit(0).alias("end"))), lambda _: F.lit(False))
-    state = F.struct(F.lit(0).alias("at"), F.lit(False).alias("inside"), empty.alias("found"))
-
-    def step(s: Column, part: Column) -> Column:
-        to = s["at"] + F.length(part)
-        found = F.when(s["inside"], F.concat(s["found"], F.array(F.struct(s["at"].alias("start"), to.alias("end"))))).otherwise(s["found"])
-        return F.struct(to.alias("at"), (~s["inside"]).alias("inside"), found.alias("found"))
-
-    ranges = F.aggregate(parts, state, step, lambda s: s["found"])
-    return F.transform(ranges, lambda r: F.struct(r["start"].alias("start"), r["end"].alias("end"), cut(text, r["start"], r["end"]).alias("raw")))
+    """array<struct<start,end,raw>> of all matches that don't overlap, left to right. The pattern must not match nothing."""
+    return scan.find(_col(text), pattern)
 
 
 def cut(text: Column, start: Column, end: Column) -> Column:
@@ -45,15 +38,8 @@ def cut(text: Column, start: Column, end: Column) -> Column:
 
 def splice(text: Column | str, spans: Column, replacement: Callable[[Column], Column]) -> Column:
     """The text with each span replaced; spans come in order, one that begins before the end of the last is left out."""
-    text = _col(text)
-    state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(s: Column, span: Column) -> Column:
-        fits = span["start"] >= s["at"]
-        longer = F.concat(s["out"], cut(text, s["at"], span["start"]), replacement(span))
-        return F.struct(F.when(fits, span["end"]).otherwise(s["at"]).alias("at"), F.when(fits, longer).otherwise(s["out"]).alias("out"))
-
-    return F.aggregate(spans, state, step, lambda s: F.concat(s["out"], cut(text, s["at"], F.length(text))))
+    each = lambda name: F.transform(spans, lambda s: s[name].cast("int"))
+    return scan.spliced(_col(text), each("start"), each("end"), F.transform(spans, replacement))
 
 
 def kind_of(token: Column) -> Column:
@@ -65,9 +51,21 @@ def fold_word(token: Column) -> Column:
     return F.translate(F.lower(token), "ё—–−", "е---")
 
 
+def _read_tokens(t: str, out: scan.Lists) -> None:
+    text, normalized, start, end, kind = out.values.values()
+    for m in scan.compiled(TOKEN).finditer(t):
+        raw = m[0]
+        text.append(raw)
+        normalized.append(raw.lower().translate(_FOLDED))
+        start.append(m.start())
+        end.append(m.end())
+        kind.append("digits" if raw[0].isdecimal() else "word" if raw[0].isalpha() else "punct")
+
+
 def tokens(text: Column | str) -> Column:
     """array<struct<text,normalized,start,end,kind>>: digit runs, letter runs and single signs; other word characters are skipped."""
-    return F.transform(find_spans(text, TOKEN), lambda t: F.struct(t["raw"].alias("text"), fold_word(t["raw"]).alias("normalized"), t["start"].alias("start"), t["end"].alias("end"), kind_of(t["raw"]).alias("kind")))
+    fields = {"text": pa.string(), "normalized": pa.string(), "start": pa.int32(), "end": pa.int32(), "kind": pa.string()}
+    return scan.scanned("array<struct<text:string,normalized:string,start:int,end:int,kind:string>>", fields, _read_tokens)(_col(text))
 
 
 def digits_only(text: Column | str) -> Column:
@@ -84,20 +82,10 @@ def word_count(text: Column | str) -> Column:
 
 def resolve(candidates: Column) -> Column:
     """Of spans in order of preference, greedily those that overlap none before them; given back in order of their places."""
-    empty = F.filter(candidates, lambda _: F.lit(False))
-    kept = F.aggregate(candidates, empty, lambda acc, c: F.when(F.exists(acc, lambda o: (o["start"] < c["end"]) & (c["start"] < o["end"])), acc).otherwise(F.concat(acc, F.array(c))))
-    return F.array_sort(kept, lambda a, b: F.when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1).when(a["end"] < b["end"], -1).when(a["end"] > b["end"], 1).otherwise(0))
+    each = lambda name: F.transform(candidates, lambda c: c[name].cast("int"))
+    return F.transform(scan.kept_places(each("start"), each("end")), lambda i: F.get(candidates, i))
 
 
 def merged(spans: Column, touching: bool = True, gap: int = 0) -> Column:
     """Spans (start, end) in order with those that overlap, touch, or lie at most ``gap`` apart joined."""
-    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
-    empty = F.filter(ordered, lambda _: F.lit(False))
-
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        near = (s["start"] <= last["end"] + gap) if touching else (s["start"] < last["end"])
-        joined = F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))))
-        return F.when((F.size(acc) > 0) & near, joined).otherwise(F.concat(acc, F.array(s)))
-
-    return F.aggregate(ordered, empty, lambda acc, s: F.when(F.size(acc) == 0, F.array(s)).otherwise(step(acc, s)))
+    return scan.joined(F.transform(spans, lambda s: s["start"].cast("int")), F.transform(spans, lambda s: s["end"].cast("int")), touching, gap)
