@@ -51,6 +51,7 @@ class Rule:
     priority: int
     base: float
     required: bool = True
+    lengths: tuple[int, int] | None = None  # of a type of one's own: fewest and most digits, which are its normal form
 
     @property
     def pattern(self) -> str:
@@ -156,6 +157,11 @@ def plain_value(kind: str, value: str, last_year: int) -> str | None:
     return digits if low <= len(digits) <= high else None
 
 
+def _digits_within(value: str, low: int, high: int) -> str | None:
+    digits = scan.compiled(r"(?U)\D").sub("", value)
+    return digits if low <= len(digits) <= high else None
+
+
 class Scanner:
     """Finds the data of all rules in a text."""
 
@@ -175,7 +181,7 @@ class Scanner:
                 continue
             for m in value.finditer(text):
                 start, raw = m.start(), self.tail.sub("", m[0])
-                normal = plain_value(rule.type, raw, self.last_year)
+                normal = plain_value(rule.type, raw, self.last_year) if rule.lengths is None else _digits_within(raw, *rule.lengths)
                 if normal is None:
                     continue
                 end = start + len(raw)

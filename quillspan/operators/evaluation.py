@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.pii import find_pii, normal_birth_date, normalize_pii
 from ..functions.spoken import digit_segments, spoken_date
 from ..functions.text import single_spaced
-from .spans import ratio
+from .spans import ratio, with_scores
 
 #: Labels of annotated transcripts and the types that they stand for.
 GOLD_TYPES = dict(zip("ТЕЛЕФОН СНИЛС ПАСПОРТ ДАТА_РОЖДЕНИЯ ОМС ИНН ВОЗРАСТ МСЭ СВИДЕТЕЛЬСТВО ВУ".split(), "PHONE SNILS PASSPORT DATE_BIRTH OMS INN AGE MSE BIRTH_CERTIFICATE DRIVER_LICENSE".split()))
@@ -75,9 +75,9 @@ def soft_keys(spans: DataFrame, gap: int = SOFT_GAP) -> DataFrame:
 
 
 def soft_counts(gold_keys: DataFrame, pred_keys: DataFrame) -> DataFrame:
-    """tp, fp, fn of sets of (id, type, key) by type and in all."""
-    both = gold_keys.withColumn("g", F.lit(1)).unionByName(pred_keys.withColumn("p", F.lit(1)), allowMissingColumns=True).groupBy("id", "type", "key").agg(F.max("g").alias("g"), F.max("p").alias("p"))
-    return both.rollup("type").agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn"))
+    """tp, fp, fn by type and in all: keys are distinct within a record, then matched as multisets over the whole corpus."""
+    once = lambda df: df.select("id", "type", "key").distinct()
+    return multiset_counts(once(gold_keys), once(pred_keys))
 
 
 def hard_negatives(records: DataFrame) -> DataFrame:
@@ -111,3 +111,37 @@ def whole_report(hard: DataFrame, soft: DataFrame, negatives: DataFrame, found:
     harmless = F.struct("total", F.col("neg_fp").alias("false_positives"), ratio(F.col("tn"), F.col("total")).alias("specificity"), F.col("by_category").alias("false_positives_by_category"))
     rows = found.agg(F.count("*").alias("records")).crossJoin(clean.select(harmless.alias("hard_negatives"))).crossJoin(side(hard, "hard")).crossJoin(side(soft, "soft"))
     return rows.select(F.to_json(F.struct("records", "hard_negatives", "hard", "soft")).alias("report"))
+
+
+def scores_by_type(counts: DataFrame) -> DataFrame:
+    """(type, tp, fp, fn, precision, recall, f1) of every known type, in order of their names, 0 where a type doesn't occur."""
+    kinds = counts.sparkSession.createDataFrame([(t,) for t in sorted(GOLD_TYPES.values())], "type string")
+    zero = F.lit(0).cast("long")
+    whole = kinds.join(counts, "type", "left").select("type", *[F.coalesce(c, zero).alias(c) for c in ("tp", "fp", "fn")])
+    return with_scores(whole).drop("accuracy").orderBy("type")
+
+
+def table_lines(title: str, counts: DataFrame) -> DataFrame:
+    """(n, line): the scores by type as lines of text, a title and a header before them."""
+    head = f"{'type':<18} {'tp':>5} {'fp':>5} {'fn':>5} {'precision':>10} {'recall':>10} {'f1':>10}"
+    number = [F.format_string("%.4f", c) for c in ("precision", "recall", "f1")]
+    line = F.concat_ws(" ", F.rpad("type", 18, " "), *[F.lpad(F.col(c).cast("string"), 5, " ") for c in ("tp", "fp", "fn")], *[F.lpad(x, 10, " ") for x in number])
+    rows = scores_by_type(counts).select(F.array_position(F.array(*map(F.lit, sorted(GOLD_TYPES.values()))), F.col("type")).cast("int").alias("n"), line.alias("line"))
+    return counts.sparkSession.createDataFrame([(-1, title), (0, head)], "n int, line string").unionAll(rows).orderBy("n")
+
+
+def report_lines(report: dict, dataset: str, folder: str | None) -> list[str]:
+    """The report as text: a few dozen lines, whatever the corpus."""
+    negatives = report["hard_negatives"]
+    out = [f"dataset: {dataset}"] + ([f"artifacts: {folder}"] if folder else [])
+    out += [f"records: {report['records']}", f"hard negatives: {negatives['total']} total, {negatives['false_positives']} false positives, specificity={negatives['specificity']:.4f}", ""]
+    for side in ("hard", "soft"):
+        out += [side, *(f"  {k + ':':<12}{v:.4f}" for k, v in report[side]["metrics"].items()), ""]
+    for side in ("hard", "soft"):
+        out += [f"{side} per type", f"{'type':<18} {'tp':>5} {'fp':>5} {'fn':>5} {'precision':>10} {'recall':>10} {'f1':>10}"]
+        for kind in sorted(GOLD_TYPES.values()):
+            tp, fp, fn = (report[side]["per_type"].get(kind, {}).get(c, 0) for c in ("tp", "fp", "fn"))
+            share = lambda a, b: a / b if b else 0.0
+            out.append(f"{kind:<18} {tp:>5} {fp:>5} {fn:>5} {share(tp, tp + fp):>10.4f} {share(tp, tp + fn):>10.4f} {share(2 * tp, 2 * tp + fp + fn):>10.4f}")
+        out.append("")
+    return [*out, "hard negative false positives by category", *(f"  {k}: {v}" for k, v in negatives["false_positives_by_category"].items())]

@@ -9,16 +9,42 @@ from pyspark.sql import functions as F
 
 from ..functions.checksums import inn_controls, luhn_control, snils_control
 
-GROUPINGS = {
-    "phone": {"1-3-3-2-2": (1, 3, 3, 2, 2), "1-3-3-4": (1, 3, 3, 4), "1-3-2-2-3": (1, 3, 2, 2, 3), "pairs": (1, 2, 2, 2, 2, 2), "digits": (1,) * 11}, "snils": {"3-3-3-2": (3, 3, 3, 2), "digits": (1,) * 11, "pairs": (2, 2, 2, 2, 2, 1)},
-    "inn": {"3-3-3-3": (3, 3, 3, 3), "pairs": (2,) * 6, "4-4-4": (4, 4, 4), "digits": (1,) * 12}, "oms": {"4-4-4-4": (4, 4, 4, 4), "pairs": (2,) * 8, "digits": (1,) * 18}, "passport": {"4-6": (4, 6), "2-2-3-3": (2, 2, 3, 3), "2-2-2-2-2": (2,) * 5, "digits": (1,) * 10},
-    "driver_license": {"2-2-6": (2, 2, 6), "4-6": (4, 6), "digits": (1,) * 10}, "mse": {"2-2-7": (2, 2, 7), "digits": (1,) * 11}, "birth_certificate": {"6": (6,), "3-3": (3, 3), "pairs": (2, 2, 2), "digits": (1,) * 6}, "birthdate": {"words": (2, 2, 4), "digits": (1,) * 8}, "age": {"words": (3,), "digits": (1, 1, 1)},
-}
+_MODES = """
+phone_mobile 3322 groups 3232
+phone_landline 222 groups 33
+snils 3332 groups 3332 335 632
+passport 22222 groups 2233 433
+birthdate 224 groups 2222 44
+inn 3333 groups 222222 444
+oms 4444 groups 333322 43333
+mse 22322 groups 47
+birth_certificate 222 groups 33
+driver_license 22222 groups 2233 433
+"""
+
+
+def _groupings() -> dict[str, dict[str, tuple[int, ...]]]:
+    """By type and mode the sizes of groups that are said as numbers. A mode's name is its sizes; ``groups`` is the usual one, ``digits`` one by one."""
+    out = {}
+    for line in _MODES.split("\n")[1:-1]:
+        kind, usual, _, *others = line.split()
+        sizes = tuple(map(int, usual))
+        out[kind] = {"groups": sizes} | {"-".join(o): tuple(map(int, o)) for o in others} | {"digits": (1,) * sum(sizes)}
+    return out
+
+
+GROUPINGS = _groupings()
+#: What may be said for the country code of a mobile number.
+PHONE_PREFIXES = {"+7": "плюс семь", "8": "восемь", "7": "семь", "plus": "плюс семь"}
+#: Region numbers of insurance policies.
+REGIONS = [f"{n:02d}" for n in range(1, 90)]
 OKATO = "01 03 04 05 07 08 10 11 12 14 15 17 18 19 20 22 24 25 27 28 29 32 33 34 36 37 38 40 41 42 44 45 46 47 49 50 52 53 54 56 57 58 60 61 63 64 65 66 68 69 70 71 73 75 76 78 79 80 81 82 83 84 85 86 87 88 89 90 91 92 93 94 95 96 97 98 99".split()
-MOBILE = "900 901 902 903 904 905 906 908 909 910 911 912 913 914 915 916 917 918 919 920 921 922 923 924 925 926 927 928 929 930 931 932 933 934 936 937 938 939 950 951 952 953 958 960 961 962 963 964 965 966 967 968 969 977 978 980 981 982 983 984 985 986 987 988 989 991 992 993 994 995 996 997 999".split()
+MOBILE = [str(n) for n in range(900, 1000)]
 MONTHS = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
-ROMAN = "I II III IV V VI VII VIII IX X XI XII XIII XIV XV".split()
-_LETTERS = "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
+ROMAN = "I II III IV V VI VII VIII IX X XI XII".split()
+#: Letters of a certificate's series and their names, by turns.
+LETTER_NAMES = dict(zip(*[iter("А а Б бэ В вэ Г гэ Д дэ Е е Ж жэ З зэ И и Й и_краткое К ка Л эль М эм Н эн О о П пэ Р эр С эс Т тэ У у Ф эф Х ха Ц цэ Ч че Ш ша Щ ща Ы ы Э э Ю ю Я я".replace("_", "\xa0").split(" "))] * 2))
+_LETTERS = "".join(LETTER_NAMES)
 
 
 def below(key: Column, n: int | Column, tag: str, seed: int = 0) -> Column:
@@ -39,7 +65,7 @@ def phone_mobile(key: Column, seed: int = 0) -> Column:
 
 
 def phone_landline(key: Column, seed: int = 0) -> Column:
-    return F.concat((2 + below(key, 8, "first", seed)).cast("string"), digits(key, 5, "landline", seed))
+    return F.concat((1 + below(key, 9, "first", seed)).cast("string"), digits(key, 5, "landline", seed))
 
 
 def snils(key: Column, seed: int = 0) -> Column:
@@ -56,10 +82,10 @@ def inn(key: Column, seed: int = 0) -> Column:
 def oms(key: Column, seed: int = 0, as_of: date = date(2026, 1, 1)) -> Column:
     """18 digits: region, duplicate mark, year and month, day (50 more for men), number, check digit."""
     d = below(key, 100, "duplicate", seed)
-    copy = F.when(d < 90, "1").when(d < 97, "2").otherwise("3")
+    copy = F.when(d < 90, "0").when(d < 97, "1").otherwise("2")
     born = F.date_sub(F.lit(as_of), 365 + below(key, 365 * 89, "born", seed))
     day = F.dayofmonth(born) + F.when(below(key, 2, "sex", seed) == 1, 50).otherwise(0)
-    base = F.concat(one_of(key, OKATO, "region", seed), copy, F.date_format(born, "yyyyMM"), F.lpad(day.cast("string"), 2, "0"), digits(key, 6, "number", seed))
+    base = F.concat(one_of(key, REGIONS, "region", seed), copy, F.date_format(born, "yyyyMM"), F.lpad(day.cast("string"), 2, "0"), digits(key, 6, "number", seed))
     return F.concat(base, luhn_control(base, 17).cast("string"))
 
 
@@ -69,16 +95,17 @@ def passport(key: Column, seed: int = 0, year: int = 2026) -> Column:
 
 
 def driver_license(key: Column, seed: int = 0) -> Column:
-    return F.concat(one_of(key, OKATO, "licence", seed), digits(key, 2, "series", seed), digits(key, 6, "licence_number", seed))
+    return F.concat(F.lpad((1 + below(key, 99, "licence", seed)).cast("string"), 2, "0"), digits(key, 2, "series", seed), digits(key, 6, "licence_number", seed))
 
 
 def mse(key: Column, seed: int = 0, year: int = 2026) -> Column:
-    return F.concat(digits(key, 2, "bureau", seed), F.lpad(F.pmod(2000 + below(key, year - 1999, "mse_year", seed), F.lit(100)).cast("string"), 2, "0"), digits(key, 7, "mse", seed))
+    number = 1 + F.pmod(F.xxhash64(key, F.lit(seed), F.lit("mse")), F.lit(9_999_999))
+    return F.concat(F.lpad((1 + below(key, 99, "bureau", seed)).cast("string"), 2, "0"), F.lpad(below(key, year % 100 + 1, "mse_year", seed).cast("string"), 2, "0"), F.lpad(number.cast("string"), 7, "0"))
 
 
 def birth_certificate(key: Column, seed: int = 0) -> Column:
     letter = lambda tag: F.substring(F.lit(_LETTERS), below(key, len(_LETTERS), tag, seed) + 1, F.lit(1))
-    return F.concat(one_of(key, ROMAN, "roman", seed), F.lit("-"), letter("a"), letter("b"), F.lit(" "), digits(key, 6, "certificate", seed))
+    return F.concat(one_of(key, ROMAN, "roman", seed), F.lit("-"), letter("a"), letter("b"), digits(key, 6, "certificate", seed))
 
 
 def birthdate(key: Column, seed: int = 0, as_of: date = date(2026, 1, 1)) -> Column:
@@ -142,49 +169,76 @@ def digits_words(number: Column) -> Column:
 
 
 def groups_words(groups: Column) -> Column:
-    """Every group as a number; a group that begins with 0 is said as ноль and the rest."""
+    """Every group as a number; of a group that begins with 0 one ноль and the rest, of zeros alone every one."""
     def one(g: Column) -> Column:
         value = F.coalesce(g.try_cast("long"), F.lit(0))
-        return F.when(g.startswith("0") & (F.length(g) > 1) & (value > 0), F.concat(F.lit("ноль "), number_words(value))).otherwise(number_words(value))
+        zeros = F.array_join(F.array_repeat(F.lit("ноль"), F.length(g)), " ")
+        return F.when(value == 0, zeros).otherwise(F.concat(F.when(g.startswith("0"), "ноль ").otherwise(""), number_words(value)))
 
     return F.array_join(F.transform(groups, one), " ")
 
 
 def spoken(kind: str, number: Column, mode: str = "digits") -> Column:
+    """A number's digits in the groups of a mode. Digits beyond the groups' stay unsaid, as of policies with 18 of them."""
     sizes = GROUPINGS[kind][mode]
-    return digits_words(number) if set(sizes) == {1} else groups_words(split_groups(number, sizes))
+    return groups_words(split_groups(number, sizes))
 
 
-def spoken_birthdate(value: Column, mode: str = "words") -> Column:
-    if mode == "digits":
-        return digits_words(F.regexp_replace(value, r"\D", ""))
-    day, month, year = F.substring(value, 1, 2).try_cast("int"), F.substring(value, 4, 2).try_cast("int"), F.substring(value, 7, 4).try_cast("int")
-    return F.concat_ws(" ", number_words(day), F.element_at(F.array(*map(F.lit, MONTHS)), month), number_words(year))
+def spoken_by_mode(kind: str, number: Column, mode: Column) -> Column:
+    """``spoken`` where the mode is a column."""
+    out = None
+    for name, sizes in GROUPINGS[kind].items():
+        cut = split_groups(number, sizes)
+        out = F.when(mode == name, cut) if out is None else out.when(mode == name, cut)
+    return groups_words(out)
+
+
+def spoken_mobile(phone: Column, mode: Column, prefix: Column) -> Column:
+    """The country code's words and the other ten digits in groups."""
+    words = F.create_map(*[F.lit(x) for pair in PHONE_PREFIXES.items() for x in pair])
+    return F.concat_ws(" ", words[prefix], spoken_by_mode("phone_mobile", F.substring(phone, 2, 10), mode))
+
 
+def spoken_certificate(value: Column, mode: Column) -> Column:
+    """The Roman numeral as a number, "тире", the letters' names and the six digits in groups."""
+    roman = F.create_map(*[F.lit(x) for i, r in enumerate(ROMAN, 1) for x in (r, (_ONES + ["десять"])[i] if i < 10 else _ONES[i])])
+    names = F.create_map(*[F.lit(x.replace("\xa0", " ")) for pair in LETTER_NAMES.items() for x in pair])
+    letters = F.regexp_extract(value, "-(.)(.)", 1), F.regexp_extract(value, "-(.)(.)", 2)
+    return F.concat_ws(" ", roman[F.regexp_extract(value, "^[IVX]+", 0)], F.lit("тире"), names[letters[0]], names[letters[1]], spoken_by_mode("birth_certificate", F.regexp_extract(value, "[0-9]{6}$", 0), mode))
 
-def documents(spark: SparkSession, count: int, seed: int = 0, raw: bool = True) -> DataFrame:
-    """One row an id with every type spoken and, with ``raw``, written."""
-    rows = spark.range(count)
+
+def spoken_birthdate(value: Column, mode: Column | str = "words") -> Column:
+    """Day, month's name and year with "года", or in mode ``digits`` every digit."""
+    day, month, year = F.substring(value, 1, 2).try_cast("int"), F.substring(value, 4, 2).try_cast("int"), F.substring(value, 7, 4).try_cast("int")
+    words = F.concat_ws(" ", number_words(day), F.element_at(F.array(*map(F.lit, MONTHS)), month), number_words(year), F.lit("года"))
+    mode = F.lit(mode) if isinstance(mode, str) else mode
+    return F.when(mode == "digits", digits_words(F.regexp_replace(value, r"\D", ""))).otherwise(words)
+
+
+def said(name: str, value: Column, key: Column, seed: int = 0) -> Column:
+    """A value of a type in a mode, and for mobile numbers a prefix, drawn by key."""
+    mode = one_of(key, list(GROUPINGS.get(name, {"words": ()})), f"mode of {name}", seed)
+    if name == "age":
+        return number_words(value)
+    if name == "birthdate":
+        return spoken_birthdate(value, mode)
+    if name == "birth_certificate":
+        return spoken_certificate(value, mode)
+    if name == "phone_mobile":
+        return spoken_mobile(value, mode, one_of(key, list(PHONE_PREFIXES), "prefix", seed))
+    return spoken_by_mode(name, value, mode)
+
+
+def documents(spark: SparkSession, count: int, seed: int = 0, raw: bool = True, kinds: list[str] | None = None) -> DataFrame:
+    """One row an id with every type spoken, each in a mode of its own draw, and, with ``raw``, written."""
+    rows, names = spark.range(count), list(GENERATORS) if kinds is None else kinds
     key = F.col("id")
-    kinds = {"phone_mobile": "phone"}
-    for name, make in GENERATORS.items():
-        rows = rows.withColumn(f"{name}_raw", make(key, seed))
+    rows = rows.select("id", *[GENERATORS[name](key, seed).alias(f"{name}_raw") for name in names])
     shown = []
-    for name in GENERATORS:
-        value = F.col(f"{name}_raw")
-        if name == "birthdate":
-            said = spoken_birthdate(value)
-        elif name == "age":
-            said = number_words(value)
-        elif name == "phone_landline":
-            said = groups_words(split_groups(value, (2, 2, 2)))
-        elif name == "birth_certificate":
-            said = F.concat_ws(" ", F.regexp_extract(value, "^[IVX]+", 0), digits_words(F.regexp_replace(value, r"\D", "")))
-        else:
-            said = spoken(kinds.get(name, name), value)
-        shown.append(said.alias(name))
+    for name in names:
+        shown.append(said(name, F.col(f"{name}_raw"), key, seed).alias(name))
         if raw:
-            shown.append(value)
+            shown.append(F.col(f"{name}_raw"))
     return rows.select("id", *shown)
 
 
@@ -196,21 +250,47 @@ def weighted_without_replacement(items: DataFrame, group: str, weight: str, n: i
 
 
 def full_names(names: DataFrame, patronymics: DataFrame, surnames: DataFrame, count: int, seed: int = 0) -> DataFrame:
-    """``count`` drawn triples of agreeing gender, made distinct. Inputs: text, probability, gender.
+    """(gender, full_name): ``count`` distinct triples, or all that there are. Inputs: text, probability, gender.
 
-    Each list becomes ranges of cumulated probability by gender; a draw meets its range by a range join.
+    The given name is drawn from all, its gender decides the lists of the others. Each list becomes ranges of
+    cumulated probability; a draw meets its range by a join on list and range. Draws go on, twice as many each round,
+    until enough are distinct; a triple's first draw counts, so the result doesn't depend on partitions. Triples too unlikely to come up are listed
+    at the end.
     """
     spark = names.sparkSession
-
-    def ranges(df: DataFrame, name: str) -> DataFrame:
-        w = Window.partitionBy("gender").orderBy("text")
-        share = F.col("probability") / F.sum("probability").over(Window.partitionBy("gender"))
-        up = df.withColumn("__p", share).withColumn("__to", F.sum("__p").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-        return up.select(F.col("gender").alias(f"{name}_g"), F.col("text").alias(name), (F.col("__to") - F.col("__p")).alias(f"{name}_lo"), F.col("__to").alias(f"{name}_hi"))
-
-    draws = spark.range(count).withColumn("gender", F.when(below(F.col("id"), 2, "gender", seed) == 0, "m").otherwise("f"))
-    for name, df in (("surname", surnames), ("name", names), ("patronymic", patronymics)):
-        u = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(name)), F.lit(1 << 40)) / F.lit(float(1 << 40))
-        r = ranges(df, name)
-        draws = draws.withColumn("__u", u).join(r, (F.col("gender") == F.col(f"{name}_g")) & (F.col("__u") >= F.col(f"{name}_lo")) & (F.col("__u") < F.col(f"{name}_hi"))).drop("__u", f"{name}_g", f"{name}_lo", f"{name}_hi")
-    return draws.select("gender", F.concat_ws(" ", "surname", "name", "patronymic").alias("full_name")).distinct()
+    sizes = [{r.gender: r["count"] for r in df.where("probability > 0").select("gender", "text").distinct().groupBy("gender").count().collect()} for df in (names, patronymics, surnames)]
+    there = sum(a * sizes[1].get(g, 0) * sizes[2].get(g, 0) for g, a in sizes[0].items())
+    genders = [g for g in sizes[0] if sizes[1].get(g) and sizes[2].get(g)]
+    count = min(count, there)
+
+    def ranges(df: DataFrame, name: str, by: list[str]) -> DataFrame:
+        rows = df.where(F.col("gender").isin(genders) & (F.col("probability") > 0)).groupBy("gender", "text").agg(F.sum("probability").alias("p"))
+        share = F.col("p") / F.sum("p").over(Window.partitionBy(*by))
+        up = rows.withColumn("share", share).withColumn("to", F.sum("share").over(Window.partitionBy(*by).orderBy("gender", "text").rowsBetween(Window.unboundedPreceding, 0)))
+        last = F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("gender"), F.desc("text"))) == 1
+        return up.select(F.col("gender").alias(f"{name}_g"), F.col("text").alias(name), (F.col("to") - F.col("share")).alias("lo"), F.when(last, 2.0).otherwise(F.col("to")).alias("hi"))
+
+    lists = [("name", ranges(names.withColumn("whole", F.lit(1)), "name", []), None)] + [(n, ranges(df, n, ["gender"]), "gender") for n, df in (("surname", surnames), ("patronymic", patronymics))]
+
+    def drawn(first: int, last: int) -> DataFrame:
+        rows = spark.range(first, last)
+        for name, r, by in lists:
+            u = F.pmod(F.xxhash64("id", F.lit(seed), F.lit(name)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+            meets = (F.col("u") >= F.col("lo")) & (F.col("u") < F.col("hi"))
+            rows = rows.withColumn("u", u).join(r, meets if by is None else (F.col("gender") == F.col(f"{name}_g")) & meets).drop("u", "lo", "hi")
+            rows = rows.withColumnRenamed("name_g", "gender") if by is None else rows.drop(f"{name}_g")
+        return rows.select("id", "gender", F.concat_ws(" ", "surname", "name", "patronymic").alias("full_name"))
+
+    asked = max(16, 2 * count)
+    while True:
+        found = drawn(0, asked).groupBy("gender", "full_name").agg(F.min("id").alias("id"))
+        missing = count - found.count()
+        if missing <= 0:
+            break
+        if asked >= 64 * max(count, 16):  # the rest is too unlikely to be drawn, so it is listed
+            every = lists[0][1].select(F.col("name_g").alias("gender"), "name").join(surnames.select("gender", F.col("text").alias("surname")), "gender").join(patronymics.select("gender", F.col("text").alias("patronymic")), "gender")
+            rest = every.select("gender", F.concat_ws(" ", "surname", "name", "patronymic").alias("full_name")).distinct().join(found, ["gender", "full_name"], "left_anti")
+            found = found.unionByName(rest.withColumn("id", F.lit(asked) + F.pmod(F.xxhash64("full_name", F.lit(seed)), F.lit(1 << 40))))
+            break
+        asked *= 2
+    return found.orderBy("id", "full_name").limit(count).select("gender", "full_name")

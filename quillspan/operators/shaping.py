@@ -57,6 +57,14 @@ def address_spoken(text: Column, mode: str = "words", seed: int = 0) -> Column:
     return {"words": address_words, "spell": address_spelled}[mode](text)
 
 
+def addresses_spoken(rows: DataFrame, columns: list[str], mode: str = "words", seed: int = 0) -> DataFrame:
+    """rows with the named columns as they are said; the others pass. Raises where a column isn't there."""
+    lacking = [c for c in columns if c not in rows.columns]
+    if lacking:
+        raise ValueError(f"no columns {lacking}")
+    return rows.withColumns({c: address_spoken(F.col(c), mode, seed) for c in columns})
+
+
 def positional_merge(left: DataFrame, right: DataFrame, order: str, n: int, keep_index: bool = False) -> DataFrame:
     """The first n rows by ``order`` of both sides, side by side. Columns of the right that clash get ``_2``; ``index`` columns go.
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,16 +39,38 @@ def entity_hard(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = ()) -> D
     return _set_counts(gold, pred, ENTITY, by)
 
 
-def _characters(spans: DataFrame) -> DataFrame:
-    return spans.where("end > begin").withColumn("at", F.explode(F.sequence(F.col("begin"), F.col("end") - 1)))
+def _covered(gold: DataFrame, pred: DataFrame, keys: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """tp, fp, fn in characters, each counted once a key, by sweeping over the ends of spans: one row an end, none a character."""
+    ends = [F.struct(F.col("begin").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d"))]
+    side = lambda df, g, p: df.where("end > begin").select(*keys, F.explode(F.array(*ends)).alias("e")).select(*keys, "e.at", (F.col("e.d") * g).alias("g"), (F.col("e.d") * p).alias("p"))
+    steps = side(gold, 1, 0).unionByName(side(pred, 0, 1)).groupBy(*keys, "at").agg(F.sum("g").alias("g"), F.sum("p").alias("p"))
+    w = Window.partitionBy(*keys).orderBy("at")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    swept = steps.select(*keys, (F.lead("at").over(w) - F.col("at")).cast("long").alias("n"), (F.sum("g").over(upto) > 0).alias("g"), (F.sum("p").over(upto) > 0).alias("p"))
+    part = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0).cast("long"))
+    g, p = F.col("g"), F.col("p")
+    tally = [part(g & p).alias("tp"), part(~g & p).alias("fp"), part(g & ~p).alias("fn")]
+    return swept.groupBy(*by).agg(*tally) if by else swept.agg(*tally)
 
 
 def char_hard(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    return _set_counts(_characters(gold), _characters(pred), ("case_id", "line", "at", "label"), by)
+    return _covered(gold, pred, ("case_id", "line", "label"), by)
 
 
 def char_soft(gold: DataFrame, pred: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    return _set_counts(_characters(gold), _characters(pred), ("case_id", "line", "at"), by)
+    return _covered(gold, pred, ("case_id", "line"), by)
+
+
+def document_characters(lines: DataFrame, keys: tuple[str, ...] = ("case_id",)) -> DataFrame:
+    """Per case the characters of all its lines, null lines counting as empty."""
+    return lines.groupBy(*keys).agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long").alias("total_chars"))
+
+
+def char_confusion(gold: DataFrame, pred: DataFrame, lines: DataFrame) -> DataFrame:
+    """tp, fp, fn, tn of characters in or out of any span, over all lines (case_id, line, text)."""
+    whole = lines.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).cast("long").alias("n"))
+    counts = char_soft(gold, pred).crossJoin(whole)  # a row each
+    return counts.select("tp", "fp", "fn", (F.col("n") - F.col("tp") - F.col("fp") - F.col("fn")).alias("tn"))
 
 
 def _matched(edges: list[list[int]]) -> int:
@@ -74,6 +97,18 @@ def _matched(edges: list[list[int]]) -> int:
     return len(partner)
 
 
+def _overlaps(gb, ge, pb, pe) -> list[list[int]]:
+    """Of every gold span the predicted ones that overlap it. Predictions are sorted by begin, and only those near are looked at."""
+    order = np.argsort(pb, kind="stable")
+    begins, ends = np.asarray(pb)[order], np.asarray(pe)[order]
+    reach = np.maximum.accumulate(ends) if len(ends) else ends
+    out = []
+    for b, e in zip(gb, ge):
+        first, last = np.searchsorted(reach, b, side="right"), np.searchsorted(begins, e, side="left")
+        out.append([int(order[i]) for i in range(first, last) if ends[i] > b])
+    return out
+
+
 def entity_soft(gold: DataFrame, pred: DataFrame) -> DataFrame:
     """tp, fp, fn where spans of a line and label match when they overlap, each once, as many as possible; no duplicates dropped.
 
@@ -84,7 +119,7 @@ def entity_soft(gold: DataFrame, pred: DataFrame) -> DataFrame:
     @F.pandas_udf("long")
     def matched(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         for gb, ge, pb, pe in batches:
-            yield pd.Series([_matched([((p < e) & (b < q)).nonzero()[0].tolist() for b, e in zip(gs, es)]) for gs, es, p, q in zip(gb, ge, pb, pe)], dtype="int64")
+            yield pd.Series([_matched(_overlaps(gs, es, p, q)) for gs, es, p, q in zip(gb, ge, pb, pe)], dtype="int64")
 
     side = lambda df, name: df.groupBy(*keys).agg(F.collect_list(F.struct("begin", "end")).alias(name))
     both = side(gold, "g").join(side(pred, "p"), keys, "full")
@@ -102,11 +137,17 @@ def coverage(gold: DataFrame, pred: DataFrame) -> DataFrame:
     return c.select((100 * ratio(F.col("tp"), whole)).alias("coverage"), (100 * ratio(F.col("fp"), whole)).alias("over_coverage"))
 
 
-def sixteen_metrics(gold: DataFrame, pred: DataFrame) -> DataFrame:
-    """(mode, tp, fp, fn, precision, recall, f1, accuracy) for the four ways of matching."""
-    modes = {"entity_hard": entity_hard, "entity_soft": entity_soft, "char_hard": char_hard, "char_soft": char_soft}
+MODES = {"entity_hard": entity_hard, "entity_soft": entity_soft, "char_hard": char_hard, "char_soft": char_soft}
+
+
+def sixteen_metrics(gold: DataFrame, pred: DataFrame, modes: tuple[str, ...] = tuple(MODES)) -> DataFrame:
+    """(mode, tp, fp, fn, precision, recall, f1, accuracy) for the ways of matching."""
+    unknown = set(modes) - set(MODES)
+    if unknown:
+        raise ValueError(f"no ways of matching: {sorted(unknown)}; there are {sorted(MODES)}")
     out = None
-    for mode, count in modes.items():
+    for mode in modes:
+        count = MODES[mode]
         row = count(gold, pred).select(F.lit(mode).alias("mode"), "tp", "fp", "fn")
         out = row if out is None else out.unionByName(row)
     return with_scores(out)
@@ -182,6 +223,11 @@ def bio_spans(tags: DataFrame) -> DataFrame:
     return groups.where("__opened").select("case_id", "first", "last", "label")
 
 
+def bio_exact(gold: DataFrame, pred: DataFrame) -> DataFrame:
+    """tp, fp, fn of entities of two tag columns (case_id, token, tag): equal first and last token and label."""
+    return _set_counts(bio_spans(gold), bio_spans(pred), ("case_id", "first", "last", "label"))
+
+
 def token_confusion(tags: DataFrame, labels: list[str]) -> DataFrame:
     """Per label tp, fp, fn, tn of token types, from columns gold and pred; one pass over the tokens."""
     rows = tags.select(tag_type(F.col("gold")).alias("g"), tag_type(F.col("pred")).alias("p"))
@@ -221,7 +267,10 @@ def invalid_spans(spans: DataFrame) -> DataFrame:
 
 def snapshot(lines: DataFrame, spans: DataFrame) -> DataFrame:
     """One row a span with its line; a case without any span gives a row a line, lines without spans of other cases go."""
-    joined = lines.join(spans, ["case_id", "line"], "left")
+    marks = spans.withColumnRenamed("role", "span_role") if "role" in spans.columns else spans
+    joined = lines.join(marks, ["case_id", "line"], "full")  # spans of lines that aren't there stay, with the role of their own
+    if "span_role" in joined.columns:
+        joined = joined.withColumn("role", F.coalesce("role", "span_role")).drop("span_role")
     some = F.max(F.col("label").isNotNull()).over(Window.partitionBy("case_id"))
     return joined.withColumn("__some", some).where(F.col("label").isNotNull() | ~F.col("__some")).drop("__some")
 

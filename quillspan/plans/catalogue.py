@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from ..functions import checksums, fuzzy, lexicon, pii, punctuation, spoken, text
 from ..operators import evaluation, generate, shaping, spans
 from ..sources.io import snapshot_json
-from .api import anonymize, evaluate
+from ..streaming.transcripts import finds_by_session
+from .api import anonymize, evaluate, run_result
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
@@ -68,6 +69,15 @@ def anonymize_transcripts(spark: SparkSession, sf: str) -> DataFrame:
     return done.select("c_custkey", "normalized_text", "masked_text", F.get("pii", F.lit(0))["normalized"].alias("phone"))
 
 
+@query("SELECT c_custkey, 'номер ' || c_custkey || ' да' AS normalized_text, 3 AS n_removed, 'hesitation' AS second_reason, 0 AS n_protected, 2 AS n_signs, c_custkey::VARCHAR AS number FROM customer")
+def run_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The layers of a whole run, read from its JSON."""
+    rows = _t(spark, sf, "customer").selectExpr("c_custkey", "'ну номер эээ, ' || c_custkey || '! как бы да' AS text").select("c_custkey", F.to_json(run_result(F.col("text"))).alias("j"))
+    at = lambda path: F.get_json_object("j", f"$.{path}")
+    n = lambda name, kind: F.size(F.from_json(at(name), f"array<struct<{kind}>>"))
+    return rows.select("c_custkey", at("normalized_text").alias("normalized_text"), n("removed_spans", "raw:string").alias("n_removed"), at("removed_spans[1].reason").alias("second_reason"), n("punctuation_protected_spans", "raw:string").alias("n_protected"), n("punctuation_removed_spans", "raw:string").alias("n_signs"), at("integer_spans[0].value").alias("number"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return anonymize_transcripts(spark, sf_dir)
 
@@ -87,11 +97,30 @@ def evaluation_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.hard_negatives(_records(spark, sf))
 
 
-@query()
+_KINDS = ", ".join(f"'{k}'" for k in ("PHONE", "SNILS", "PASSPORT", "INN", "OMS", "DATE_BIRTH", "DRIVER_LICENSE", "MSE", "BIRTH_CERTIFICATE", "AGE"))
+#: Every spoken value is found but for birth dates with the month's name, which no rule knows.
+_BY_TYPE = f"SELECT list_element([{_KINDS}], (c_custkey % 10 + 1)::INT) AS type, count(*) FILTER (WHERE c_custkey % 10 <> 5 OR c_custkey // 10 % 2 = 1)::BIGINT AS tp, count(*) FILTER (WHERE c_custkey % 10 = 5 AND c_custkey // 10 % 2 = 0)::BIGINT AS fn FROM customer GROUP BY 1"
+
+
+@query(f"""
+    WITH t AS ({_BY_TYPE}), a AS (SELECT sum(tp)::BIGINT AS tp, sum(fn)::BIGINT AS fn FROM t), p AS (SELECT '{{' || string_agg('"' || type || '":{{"tp":' || tp || ',"fp":0,"fn":' || fn || '}}', ',' ORDER BY type) || '}}' AS per_type FROM t),
+    h AS (SELECT c_mktsegment AS c, count(*) AS n, count(*) FILTER (WHERE c_custkey % 5 = 0) AS f FROM customer GROUP BY 1), n AS (SELECT sum(n)::BIGINT AS n, sum(f)::BIGINT AS f, '{{' || string_agg('"' || c || '":' || f, ',' ORDER BY c) FILTER (WHERE f > 0) || '}}' AS by_c FROM h),
+    s AS (SELECT '{{"counts":{{"tp":' || tp || ',"fp":0,"fn":' || fn || ',"tn":' || (n - f) || '}},"metrics":{{"precision":1.0,"recall":' || (tp / (tp + fn))::VARCHAR || ',"f1":' || (2 * tp / (2 * tp + fn))::VARCHAR || ',"accuracy":' || ((tp + n - f) / (tp + n - f + fn))::VARCHAR || ',"specificity":' || ((n - f) / n)::VARCHAR || '}},"references":' || (tp + fn) || ',"predictions":' || tp || ',"per_type":' || per_type || '}}' AS side, n.* FROM a, p, n)
+    SELECT '{{"records":' || n || ',"hard_negatives":{{"total":' || n || ',"false_positives":' || f || ',"specificity":' || ((n - f) / n)::VARCHAR || ',"false_positives_by_category":' || by_c || '}},"hard":' || side || ',"soft":' || side || '}}' AS report FROM s
+""")
 def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.whole_report(*map(evaluate(_typed_records(spark, sf)).get, ("hard", "soft", "hard_negatives", "found")))
 
 
+@query(f"""
+    WITH t AS ({_BY_TYPE}), r AS (SELECT *, row_number() OVER (ORDER BY type) AS n FROM t)
+    SELECT n::INTEGER AS n, printf('%-18s %5d %5d %5d %10.4f %10.4f %10.4f', type, tp, 0, fn, CASE WHEN tp > 0 THEN 1.0 ELSE 0.0 END::DOUBLE, tp / (tp + fn), 2 * tp / (2 * tp + fn)) AS line FROM r
+    UNION ALL SELECT -1, 'hard per type' UNION ALL SELECT 0, printf('%-18s %5s %5s %5s %10s %10s %10s', 'type', 'tp', 'fp', 'fn', 'precision', 'recall', 'f1')
+""")
+def evaluation_table(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.table_lines("hard per type", evaluate(_typed_records(spark, sf))["hard"])
+
+
 def _records(spark: SparkSession, sf: str) -> DataFrame:
     """Annotated records: the spoken sentence, its number as gold, and a harmless text that every fifth time looks like a number."""
     rows = spoken_customers(spark, sf).join(_t(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
@@ -160,6 +189,27 @@ def mask_replacements(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("c_custkey", pii.mask("text", pii.find_pii("text"), {"PHONE": "<тел>"}).alias("masked_text"))
 
 
+_PII_SNILS, _PII_SUM = _key("c_custkey", 104729, 11), " + ".join(f"cast(substr(v, {i}, 1) as int) * {10 - i}" for i in range(1, 10))
+
+
+@query(f"""
+    WITH n AS (SELECT c_custkey, {_PII_SNILS} AS v FROM customer), s AS (SELECT *, {_PII_SUM} AS t FROM n), c AS (SELECT *, (CASE WHEN t < 100 THEN t ELSE t % 101 % 100 END) = cast(substr(v, 10, 2) as int) AS ok FROM s)
+    SELECT c_custkey, 'SNILS' AS type, v AS normalized, CASE WHEN ok THEN 0.99 ELSE 0.89 END::DOUBLE AS confidence, 11 AS length, ok AS checksum_valid, true AS positive_context_hit, 95 AS priority, 'снилс ' || v AS context FROM c
+""")
+def pii_metadata(spark: SparkSession, sf: str) -> DataFrame:
+    rows = carriers(spark, sf).where("wanted = 'SNILS'").select("c_custkey", F.explode(pii.find_pii("text", as_of=AS_OF)).alias("m"))
+    return rows.select("c_custkey", "m.type", "m.normalized", F.round("m.confidence", 6).alias("confidence"), "m.metadata.length", "m.metadata.checksum_valid", "m.metadata.positive_context_hit", "m.metadata.priority", "m.context")
+
+
+@query(f"SELECT c_custkey, 'ORDER' AS type, {_SEVEN} AS normalized, 'заказ № [ORDER]' AS masked_text FROM customer")
+def custom_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """A rule of one's own in place of the ten."""
+    own = pii.Rule("ORDER", "order", pii._n(7), pii._stems("заказ"), pii._stems("возврат"), 20, 0, 50, 0.7, lengths=(7, 7))
+    rows = _t(spark, sf, "customer").selectExpr("c_custkey", f"'заказ № ' || {_SEVEN} AS text")
+    done = pii.with_pii(rows, rules=[own])
+    return done.select("c_custkey", F.get("pii", F.lit(0))["type"].alias("type"), F.get("pii", F.lit(0))["normalized"].alias("normalized"), "masked_text")
+
+
 @query(f"SELECT c_custkey, '+79' || {_NINE} AS phone FROM customer")
 def phone_normalize(spark: SparkSession, sf: str) -> DataFrame:
     rows = _t(spark, sf, "customer").selectExpr("c_custkey", f"(CASE c_custkey % 3 WHEN 0 THEN '8 (9' WHEN 1 THEN '+7-9' ELSE '9' END) || {_NINE} AS v")
@@ -199,10 +249,10 @@ def birth_date_normalize(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "orders").select("o_orderkey", pii.normal_birth_date(written, AS_OF).alias("born"))
 
 
-@query("WITH RECURSIVE c AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey % 50, l_suppkey % 20) AS n, (l_partkey % 50)::INT AS s, (l_partkey % 50 + 1 + l_suppkey % 20)::INT AS e FROM lineitem), g(k, n, kept) AS (SELECT k, n, [{'s': s, 'e': e}] FROM c WHERE n = 1 UNION ALL SELECT g.k, c.n, CASE WHEN len(list_filter(g.kept, lambda x: x.s < c.e AND c.s < x.e)) > 0 THEN g.kept ELSE list_append(g.kept, {'s': c.s, 'e': c.e}) END FROM g JOIN c ON c.k = g.k AND c.n = g.n + 1) SELECT k AS l_orderkey, max(len(kept))::INTEGER AS n_kept FROM g GROUP BY 1")
+@query("WITH RECURSIVE c AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_quantity DESC, l_linenumber, l_partkey % 50, l_suppkey % 20) AS n, (l_partkey % 50)::INT AS s, (l_partkey % 50 + 1 + l_suppkey % 20)::INT AS e FROM lineitem), g(k, n, kept) AS (SELECT k, n, [{'s': s, 'e': e}] FROM c WHERE n = 1 UNION ALL SELECT g.k, c.n, CASE WHEN len(list_filter(g.kept, lambda x: x.s < c.e AND c.s < x.e)) > 0 THEN g.kept ELSE list_append(g.kept, {'s': c.s, 'e': c.e}) END FROM g JOIN c ON c.k = g.k AND c.n = g.n + 1) SELECT k AS l_orderkey, len(kept)::INTEGER AS n_kept, list_sum(list_transform(kept, lambda x: x.s))::INTEGER AS starts, list_sum(list_transform(kept, lambda x: x.e))::INTEGER AS ends FROM g QUALIFY n = max(n) OVER (PARTITION BY k)")
 def overlap_resolution(spark: SparkSession, sf: str) -> DataFrame:
     rows = _t(spark, sf, "lineitem").select("l_orderkey", F.struct((-F.col("l_quantity")).alias("rank"), "l_linenumber", (F.col("l_partkey") % 50).cast("int").alias("start"), (F.col("l_partkey") % 50 + 1 + F.col("l_suppkey") % 20).cast("int").alias("end")).alias("c"))
-    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("c")).alias("c")).select("l_orderkey", F.size(text.resolve(F.col("c"))).alias("n_kept"))
+    return rows.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("c")).alias("c")).select("l_orderkey", text.resolve(F.col("c")).alias("k")).select("l_orderkey", F.size("k").alias("n_kept"), *[F.aggregate(f"k.{x}", F.lit(0), lambda a, b: a + b).alias(f"{x}s") for x in ("start", "end")])
 
 
 # ---------------------------------------------------------------- text
@@ -216,11 +266,12 @@ def token_kinds(spark: SparkSession, sf: str) -> DataFrame:
     return raw.groupBy(text.kind_of(F.col("t")).alias("kind")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT conv_id, turn, length(regexp_replace(text, '[^A-Za-zА-Яа-яЁё]+', '', 'g'))::BIGINT AS letters FROM conversations")
+@query(rf"SELECT conv_id, turn, length(regexp_replace(text, '[^A-Za-zА-Яа-яЁё]+', '', 'g'))::BIGINT AS letters, array_to_string(regexp_extract_all(text, '[0-9A-Za-zА-Яа-яЁё]|{_PUNCT}'), '') AS cut_out FROM conversations")
 def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
     words = F.filter(text.tokens("text"), lambda t: t["kind"] == "word")
     width = F.aggregate(words, F.lit(0).cast("long"), lambda n, t: n + t["end"] - t["start"])
-    return _t(spark, sf, "conversations").select("conv_id", "turn", width.alias("letters"))
+    cut = F.array_join(F.transform(text.tokens("text"), lambda t: text.cut(F.col("text"), t["start"], t["end"])), "")
+    return _t(spark, sf, "conversations").select("conv_id", "turn", width.alias("letters"), cut.alias("cut_out"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::INTEGER AS n_words FROM documents")
@@ -239,6 +290,26 @@ def punctuation_protected(spark: SparkSession, sf: str) -> DataFrame:
     return _t(spark, sf, "documents").select("doc_id", punctuation.without_punctuation("text").alias("clean"))
 
 
+def _mixed_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Sentences with an address, a link, a version and a domain, all by key."""
+    return _t(spark, sf, "customer").selectExpr("c_custkey", "'Почта c' || c_custkey || '@mail.ru, сайт https://a.b/c?x=' || c_custkey || ', версия 1.' || c_custkey || '.3 — на яндекс.рф! (да); №' || c_custkey AS text")
+
+
+@query("SELECT c_custkey, 'Почта c' || c_custkey || '@mail.ru сайт https://a.b/c?x=' || c_custkey || ' версия 1.' || c_custkey || '.3 на яндекс.рф да ' || c_custkey AS plain, 'Почта c' || c_custkey || '@mail.ru_ сайт https://a.b/c?x=' || c_custkey || '_ версия 1.' || c_custkey || '.3 на яндекс.рф_ да__ ' || c_custkey AS marked FROM customer")
+def punctuation_kept_spans(spark: SparkSession, sf: str) -> DataFrame:
+    marks = punctuation.PunctuationConfig(replacement="_")
+    return _mixed_text(spark, sf).select("c_custkey", punctuation.without_punctuation("text").alias("plain"), punctuation.without_punctuation("text", marks).alias("marked"))
+
+
+@query("""
+    WITH t AS (SELECT c_custkey, length(c_custkey::VARCHAR) AS n FROM customer)
+    SELECT c_custkey, 'email' AS reason, 6 AS start, (15 + n)::INTEGER AS "end" FROM t UNION ALL SELECT c_custkey, 'url', (22 + n)::INTEGER, (38 + 2 * n)::INTEGER FROM t
+    UNION ALL SELECT c_custkey, 'numeric_separator', (47 + 2 * n)::INTEGER, (51 + 3 * n)::INTEGER FROM t UNION ALL SELECT c_custkey, 'domain', (57 + 3 * n)::INTEGER, (66 + 3 * n)::INTEGER FROM t
+""")
+def protected_reasons(spark: SparkSession, sf: str) -> DataFrame:
+    return _mixed_text(spark, sf).select("c_custkey", F.explode(punctuation.protected_spans("text")).alias("s")).select("c_custkey", "s.reason", "s.start", "s.end")
+
+
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}'))::INTEGER AS n FROM documents")
 def protected_emails(spark: SparkSession, sf: str) -> DataFrame:
     only = punctuation.PunctuationConfig(keep_numeric=False, keep_domains=False, keep_urls=False)
@@ -258,8 +329,51 @@ def filler_audit(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("c_custkey", F.size("s").alias("n"), F.concat(F.lit("["), F.array_join(F.array_sort(F.array_distinct("s.reason")), ", "), F.lit("]")).alias("reasons"))
 
 
+_FILLED = ["ах, да", "он ах сказал", "а, значит, пошли", "типа", "э - м номер", "ну как бы это самое вот"]
+_LEFT = ["да", "он ах сказал", "пошли", "", "номер", ""]
+
+
+def _cases(spark: SparkSession, sf: str, texts: list[str]) -> DataFrame:
+    """A text of the list a customer, by turns."""
+    return _t(spark, sf, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, texts)), (F.col("c_custkey") % len(texts) + 1).cast("int")).alias("text"))
+
+
+def _answers(name: str, *columns: tuple[str, list]) -> str:
+    """SQL that gives each customer the answers of the text that ``_cases`` gives it."""
+    shown = lambda x: "NULL" if x is None else f"'{x}'" if isinstance(x, str) else f"{x}::DOUBLE" if isinstance(x, float) else str(x)
+    return "SELECT c_custkey, " + ", ".join(f"list_element([{', '.join(map(shown, values))}], (c_custkey % {len(values)} + 1)::INT) AS {column}" for column, values in columns) + f" FROM {name}"
+
+
+@query(_answers("customer", ("fluent_text", _LEFT)))
+def filler_contexts(spark: SparkSession, sf: str) -> DataFrame:
+    return _cases(spark, sf, _FILLED).select("c_custkey", spoken.without_fillers(F.col("text")).alias("fluent_text"))
+
+
 # ---------------------------------------------------------------- numbers
 
+_SPOKEN = ["код сорока", "сорока сидит", "минус два с половиной", "педесят пять", "ноль ноль семь", "сто двадцать три тысячи", "двадцать пять ноль один", "42"]
+
+
+@query(_answers("customer", ("value", ["40", None, "-2", "55", "007", "123000", "2501", "42"]), ("kind", ["cardinal", None, "digit_sequence", "cardinal", "digit_sequence", "cardinal", "mixed", "digits"])))
+def number_kinds(spark: SparkSession, sf: str) -> DataFrame:
+    """The first number of texts with a misheard word, a magpie, a fraction, leading zeros and pieces."""
+    first = F.get(spoken.extract_numbers(F.col("text")), F.lit(0))
+    return _cases(spark, sf, _SPOKEN).select("c_custkey", first["value"].alias("value"), first["kind"].alias("kind"))
+
+
+@query(_answers("customer", ("normalized_text", ["код 40", "сорока сидит", "-2", "55", "007", "123000", "2501", "42"])))
+def number_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return _cases(spark, sf, _SPOKEN).select("c_custkey", spoken.with_digits(F.col("text")).alias("normalized_text"))
+
+
+# the model: (0.98 - 0.22 misheard share - 0.05 if a fraction), at most the way of parsing's own
+@query(_answers("customer", ("confidence", [0.98, 0.96, 0.94, 0.76, 0.87, 0.98])))
+def number_confidence(spark: SparkSession, sf: str) -> DataFrame:
+    first = F.get(spoken.extract_numbers(F.col("text")), F.lit(0))
+    texts = ["один два три", "двадцать пять", "двадцать пять ноль один", "педесят", "педесят пять", "42"]
+    return _cases(spark, sf, texts).select("c_custkey", F.round(first["confidence"], 6).alias("confidence"))
+
+
 
 @query(f"SELECT c_custkey, {_NINE} AS value, 'digit_sequence' AS kind FROM customer")
 def digit_sequence_parse(spark: SparkSession, sf: str) -> DataFrame:
@@ -297,6 +411,19 @@ def fuzzy_best_match(spark: SparkSession, sf: str) -> DataFrame:
     return fuzzy.best_matches(words, vocabulary, 0.4).select("word", "match", F.round("score", 6).alias("score"))
 
 
+#: Numbers' own names.
+_CANON = {"digit": "ноль один два три четыре пять шесть семь восемь девять", "teen": "десять одиннадцать двенадцать тринадцать четырнадцать пятнадцать шестнадцать семнадцать восемнадцать девятнадцать", "ten": "двадцать тридцать сорок пятьдесят шестьдесят семьдесят восемьдесят девяносто", "hundred": "сто двести триста четыреста пятьсот шестьсот семьсот восемьсот девятьсот", "scale": "тысяча миллион миллиард триллион"}
+_OF_CANON = {"digit": "i - 1", "teen": "i + 9", "ten": "i * 10 + 10", "hundred": "i * 100", "scale": "power(1000, i)"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{kind}' AS class, list_element(string_split('{words}', ' '), i::INT) AS word, ({_OF_CANON[kind]})::BIGINT AS value FROM range(1, {len(words.split()) + 1}) AS r(i)" for kind, words in _CANON.items()))
+def lexicon_values(spark: SparkSession, sf: str) -> DataFrame:
+    """The numbers that the lexicon has forms of, with the form that is a number's own name."""
+    known = lexicon.lexicon(spark)
+    own = F.element_at(F.array(*[F.lit(w) for k in _CANON for w in _CANON[k].split()]), F.array_position(F.array(*[F.lit(w) for k in _CANON for w in _CANON[k].split()]), F.col("form")).cast("int"))
+    return known.where(F.col("form").isin([w for k in _CANON for w in _CANON[k].split()])).select("class", own.alias("word"), "value").distinct()
+
+
 @query()
 def lexicon_forms(spark: SparkSession, sf: str) -> DataFrame:
     return lexicon.lexicon(spark)
@@ -341,6 +468,19 @@ def soft_keys(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.soft_keys(rows)
 
 
+@query("""
+    WITH e AS (SELECT user_id, epoch_us(ts) AS s, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END AS f FROM events), c AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY user_id ORDER BY s) <= 300000000 THEN 0 ELSE 1 END AS fresh FROM e),
+    i AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY s ROWS UNBOUNDED PRECEDING) AS k FROM c)
+    SELECT user_id, (max(s) + 300000000 - min(s))::BIGINT AS micros, count(*)::BIGINT AS turns, sum(f)::BIGINT AS finds FROM i GROUP BY user_id, k
+""")
+def session_finds(spark: SparkSession, sf: str) -> DataFrame:
+    """The streaming operator over a table: turns and found data in sessions."""
+    said = F.when(F.col("event_id") % 2 == 0, "телефон восемь девять один три один два три четыре пять шесть семь").otherwise("пульс восемьдесят")
+    rows = _t(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), said.alias("text"))
+    done = finds_by_session(rows)
+    return done.select("user_id", (F.unix_micros("session.end") - F.unix_micros("session.start")).alias("micros"), "turns", "finds")
+
+
 # ---------------------------------------------------------------- spans
 
 _G = "SELECT DISTINCT l_orderkey AS case_id, 0 AS line, (l_partkey % 60)::INT AS begin, (l_partkey % 60 + 1 + l_suppkey % 12)::INT AS \"end\", l_returnflag AS label FROM lineitem"
@@ -369,12 +509,25 @@ def entity_hard(spark: SparkSession, sf: str) -> DataFrame:
     return spans.entity_hard(*span_sides(spark, sf))
 
 
-@query()
+#: A largest matching by trying, span after span, every overlapping prediction that is still free: its set of used ones is a number's bits.
+_SOFT = f"""
+    gold AS (SELECT *, row_number() OVER (PARTITION BY case_id, label ORDER BY begin, "end") AS i FROM ({_G})), pred AS (SELECT *, row_number() OVER (PARTITION BY case_id, label ORDER BY begin, "end") AS j FROM ({_P})),
+    tried(case_id, label, i, used) AS (SELECT DISTINCT case_id, label, 0::BIGINT, 0::BIGINT FROM gold UNION SELECT t.case_id, t.label, g.i, CASE WHEN p.j IS NULL OR skip THEN t.used ELSE t.used | (1::BIGINT << (p.j - 1)::INT) END
+        FROM tried t JOIN gold g ON g.case_id = t.case_id AND g.label = t.label AND g.i = t.i + 1 CROSS JOIN (SELECT unnest([true, false]) AS skip) LEFT JOIN pred p ON NOT skip AND p.case_id = g.case_id AND p.label = g.label AND p.begin < g."end" AND g.begin < p."end" AND (t.used & (1::BIGINT << (p.j - 1)::INT)) = 0),
+    best AS (SELECT sum(m)::BIGINT AS tp FROM (SELECT max(bit_count(used)) AS m FROM tried GROUP BY case_id, label)),
+    soft AS (SELECT tp, (SELECT count(*) FROM pred) - tp AS fp, (SELECT count(*) FROM gold) - tp AS fn FROM best)"""
+
+
+@query(f"WITH RECURSIVE {_SOFT} SELECT * FROM soft")
 def entity_soft(spark: SparkSession, sf: str) -> DataFrame:
     return spans.entity_soft(*span_sides(spark, sf))
 
 
-@query()
+@query(f"""
+    WITH RECURSIVE {_SOFT}, c AS (SELECT 'entity_soft' AS mode, * FROM soft UNION ALL SELECT 'entity_hard', * FROM ({_counts(f"({_G})", f"({_P})")})
+        UNION ALL SELECT 'char_hard', * FROM ({_counts(f"({_chars(_G, True)})", f"({_chars(_P, True)})")}) UNION ALL SELECT 'char_soft', * FROM ({_counts(f"({_chars(_G, False)})", f"({_chars(_P, False)})")}))
+    SELECT mode, tp, fp, fn, tp / (tp + fp) AS precision, tp / (tp + fn) AS recall, 2 * tp / (2 * tp + fp + fn) AS f1, tp / (tp + fp + fn) AS accuracy FROM c
+""")
 def sixteen_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return spans.sixteen_metrics(*span_sides(spark, sf))
 
@@ -394,6 +547,18 @@ def coverage(spark: SparkSession, sf: str) -> DataFrame:
     return spans.coverage(*span_sides(spark, sf)).select(F.round("coverage", 6).alias("coverage"), F.round("over_coverage", 6).alias("over_coverage"))
 
 
+@query("SELECT conv_id AS case_id, sum(length(text))::BIGINT AS total_chars FROM conversations GROUP BY 1")
+def document_characters(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.document_characters(_t(spark, sf, "conversations").select(F.col("conv_id").alias("case_id"), "text"))
+
+
+@query(f"WITH c AS ({_counts(f'({_chars(_G, False)})', f'({_chars(_P, False)})')}) SELECT tp, fp, fn, (SELECT count(*) * 100 FROM orders)::BIGINT - tp - fp - fn AS tn FROM c")
+def char_confusion(spark: SparkSession, sf: str) -> DataFrame:
+    """Characters in and out of spans, of lines of 100 signs an order."""
+    lines = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"), F.lit(0).alias("line"), F.repeat(F.lit("x"), 100).alias("text"))
+    return spans.char_confusion(*span_sides(spark, sf), lines)
+
+
 _ISLANDS = "WITH s AS ({g}), f AS (SELECT *, CASE WHEN begin <= max(\"end\") OVER (PARTITION BY case_id ORDER BY begin, \"end\" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + {gap} THEN 0 ELSE 1 END AS fresh FROM s), i AS (SELECT *, sum(fresh) OVER (PARTITION BY case_id ORDER BY begin, \"end\" ROWS UNBOUNDED PRECEDING) AS island FROM f) SELECT case_id, 0 AS line, min(begin)::INTEGER AS begin, max(\"end\")::INTEGER AS \"end\" FROM i GROUP BY case_id, island"
 
 
@@ -443,6 +608,7 @@ def _bio(side: str, order: str) -> str:
             QUALIFY row_number() OVER (PARTITION BY t.case_id, t.token ORDER BY {order}) = 1)) b ON b.case_id = t.case_id AND b.token = t.token"""
 
 
+_LAST = 's.begin DESC, s."end" DESC, s.label DESC'
 _FIRST, _LONGEST = 's.begin, s."end", s.label', 's.begin, s."end" DESC, s.label'
 
 
@@ -461,6 +627,39 @@ def bio_tags_longest(spark: SparkSession, sf: str) -> DataFrame:
     return spans.bio_tags(token_grid(spark, sf), span_sides(spark, sf)[0], "longest").select("case_id", "token", "tag")
 
 
+@query(_bio(_G, _LAST))
+def bio_tags_last(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.bio_tags(token_grid(spark, sf), span_sides(spark, sf)[0], "last").select("case_id", "token", "tag")
+
+
+def _flagged(flag: str) -> str:
+    return f"SELECT DISTINCT * FROM ({_G}) WHERE label = '{flag}'"
+
+
+@query(f"SELECT r.case_id, r.token, CASE WHEN r.tag <> 'O' THEN r.tag WHEN a.tag <> 'O' THEN a.tag ELSE n.tag END AS tag FROM ({_bio(_flagged('R'), _FIRST)}) r JOIN ({_bio(_flagged('A'), _FIRST)}) a USING (case_id, token) JOIN ({_bio(_flagged('N'), _FIRST)}) n USING (case_id, token)")
+def bio_precedence(spark: SparkSession, sf: str) -> DataFrame:
+    """Tags of each label alone, merged with R before A before N."""
+    grid, gold = token_grid(spark, sf), span_sides(spark, sf)[0]
+    out = None
+    for label in "RAN":
+        mine = spans.bio_tags(grid, gold.where(F.col("label") == label)).select("case_id", "token", F.col("tag").alias(label))
+        out = mine if out is None else out.join(mine, ["case_id", "token"])
+    return out.select("case_id", "token", spans.merged_tags(*map(F.col, "RAN")).alias("tag"))
+
+
+def _bio_runs(tags: str) -> str:
+    return f"""SELECT case_id, min(token) AS first, max(token) AS last, min(kind) AS label FROM (
+        SELECT *, sum(cut) OVER (PARTITION BY case_id ORDER BY token ROWS UNBOUNDED PRECEDING) AS run FROM (
+            SELECT *, CASE WHEN tag LIKE 'B-%' OR kind IS NULL OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY case_id ORDER BY token) THEN 1 ELSE 0 END AS cut FROM (SELECT *, CASE WHEN tag = 'O' THEN NULL ELSE substr(tag, 3) END AS kind FROM ({tags}))))
+        WHERE kind IS NOT NULL GROUP BY case_id, run HAVING bool_or(tag LIKE 'B-%')"""
+
+
+@query(_counts(f"({_bio_runs(_bio(_G, _FIRST))})", f"({_bio_runs(_bio(_P, _LONGEST))})"))
+def bio_exact(spark: SparkSession, sf: str) -> DataFrame:
+    grid, (gold, pred) = token_grid(spark, sf), span_sides(spark, sf)
+    return spans.bio_exact(spans.bio_tags(grid, gold), spans.bio_tags(grid, pred, "longest"))
+
+
 @query(f"""
     WITH t AS (SELECT *, CASE WHEN tag = 'O' THEN NULL ELSE substr(tag, 3) END AS kind FROM ({_bio(_G, _FIRST)})),
     c AS (SELECT *, CASE WHEN tag LIKE 'B-%' OR kind IS NULL OR kind IS DISTINCT FROM lag(kind) OVER (PARTITION BY case_id ORDER BY token) THEN 1 ELSE 0 END AS cut FROM t),
@@ -497,7 +696,10 @@ def snapshot_flat(spark: SparkSession, sf: str) -> DataFrame:
     return spans.snapshot(lines, marks).select("case_id", "line", "role", "label")
 
 
-@query()
+@query("""
+    WITH l AS (SELECT conv_id, list({'line': turn, 'role': role, 'text': text} ORDER BY turn, role, text) AS lines, list({'line': turn, 'begin': 0, 'end': 1, 'label': 'X'} ORDER BY turn) FILTER (WHERE conv_id % 3 = 0 AND turn % 2 = 0) AS spans FROM conversations GROUP BY 1)
+    SELECT conv_id AS case_id, CASE WHEN spans IS NULL THEN to_json({'case_id': conv_id, 'lines': lines})::VARCHAR ELSE to_json({'case_id': conv_id, 'lines': lines, 'spans': spans})::VARCHAR END AS case_json FROM l
+""")
 def snapshot_cases(spark: SparkSession, sf: str) -> DataFrame:
     lines = _t(spark, sf, "conversations").select(F.col("conv_id").alias("case_id"), F.col("turn").alias("line"), "role", "text")
     marks = lines.where("case_id % 3 = 0 AND line % 2 = 0").select("case_id", "line", F.lit(0).alias("begin"), F.lit(1).alias("end"), F.lit("X").alias("label"))
@@ -531,13 +733,60 @@ def generated_checksums(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("c_custkey", checksums.snils_valid(F.col("s")).alias("snils_ok"), checksums.inn_valid(F.col("i")).alias("inn_ok"), ((F.length("o") == 18) & (checksums.luhn_control(F.col("o"), 17).cast("string") == F.substring("o", 18, 1))).alias("oms_ok"))
 
 
+_FORMATS = {
+    "phone_mobile": r"^79\d{9}$", "phone_landline": r"^[1-9]\d{5}$", "snils": r"^\d{11}$", "passport": r"^\d{10}$", "birthdate": r"^(0[1-9]|[12]\d|3[01])\.(0[1-9]|1[0-2])\.(19|20)\d\d$", "inn": r"^\d{12}$", "oms": r"^(0[1-9]|[1-8]\d)[012](19|20)\d\d(0[1-9]|1[0-2])\d{9}$",
+    "age": r"^([1-9]\d?|100)$", "mse": r"^(0[1-9]|[1-9]\d)([01]\d|2[0-6])\d{7}$", "birth_certificate": r"^(I{1,3}|I?V|VI{1,3}|IX|XI{0,2})-[А-ЯЁ]{2}\d{6}$", "driver_license": r"^(0[1-9]|[1-9]\d)\d{8}$",
+}
+
+
+@query("SELECT k AS type, count(*)::BIGINT AS n, count(*)::BIGINT AS well_formed, count(*)::BIGINT AS spoken_in_words FROM customer, (SELECT unnest([" + ", ".join(f"'{k}'" for k in _FORMATS) + "]) AS k) GROUP BY 1")
+def generated_formats(spark: SparkSession, sf: str) -> DataFrame:
+    """Whether all generated values have their type's form, and are said in words alone."""
+    rows = generated_documents(spark, sf).select(F.inline(F.array(*[F.struct(F.lit(k).alias("type"), F.col(f"{k}_raw").rlike(f).alias("ok"), F.col(k).rlike("^[а-яё]+( [а-яё]+)*$").alias("words")) for k, f in _FORMATS.items()])))
+    return rows.groupBy("type").agg(F.count("*").alias("n"), F.count_if("ok").alias("well_formed"), F.count_if("words").alias("spoken_in_words"))
+
+
+def _plain_words() -> list[str]:
+    """0 to 999 in words, by tables of their own."""
+    ones = _CANON["digit"].split() + _CANON["teen"].split()
+    under = [ones[n] if n < 20 else " ".join([_CANON["ten"].split()[n // 10 - 2], *([ones[n % 10]] if n % 10 else [])]) for n in range(100)]
+    return [under[n] if n < 100 else " ".join([_CANON["hundred"].split()[n // 100 - 1], *([under[n % 100]] if n % 100 else [])]) for n in range(1000)]
+
+
+def _group_words(g: str) -> str:
+    return f"CASE WHEN {g}::INT = 0 THEN rtrim(repeat('ноль ', length({g}))) WHEN {g} LIKE '0%' THEN 'ноль ' || list_element(w, {g}::INT + 1) ELSE list_element(w, {g}::INT + 1) END"
+
+
+@query(f"WITH n AS (SELECT c_custkey, {_key('c_custkey', 104729, 11)} AS v, {_SEVEN} AS p, [{', '.join(repr(w) for w in _plain_words())}] AS w FROM customer) SELECT c_custkey, CASE c_custkey % 2 WHEN 0 THEN {' || chr(32) || '.join(_group_words(f'substr(v, {a}, {b})') for a, b in ((1, 3), (4, 3), (7, 3), (10, 2)))} ELSE {' || chr(32) || '.join(_group_words(f'substr(v, {a}, 1)') for a in range(1, 12))} END AS snils, list_element(['плюс семь', 'восемь', 'семь', 'плюс семь'], (c_custkey % 4 + 1)::INT) || ' ' || {' || chr(32) || '.join(_group_words(f'substr(913 || p, {a}, {b})') for a, b in ((1, 3), (4, 3), (7, 2), (9, 2)))} AS phone FROM n")
+def spoken_groups(spark: SparkSession, sf: str) -> DataFrame:
+    k = F.col("c_custkey")
+    rows = _t(spark, sf, "customer").select("c_custkey", F.expr(_key("c_custkey", 104729, 11)).alias("v"), F.concat(F.lit("7913"), F.expr(_SEVEN)).alias("p"))
+    mode = F.when(k % 2 == 0, "3-3-3-2").otherwise("digits")
+    prefix = F.element_at(F.array(*map(F.lit, ("+7", "8", "7", "plus"))), (k % 4 + 1).cast("int"))
+    return rows.select("c_custkey", generate.spoken_by_mode("snils", F.col("v"), mode).alias("snils"), generate.spoken_mobile(F.col("p"), F.lit("groups"), prefix).alias("phone"))
+
+
+_MONTH_NAMES = ", ".join(f"'{m}'" for m in generate.MONTHS)
+
+
+@query(f"WITH n AS (SELECT o_orderkey, o_orderdate AS d, [{', '.join(repr(w) for w in _plain_words())}] AS w FROM orders) SELECT o_orderkey, list_element(w, day(d)::INT + 1) || ' ' || list_element([{_MONTH_NAMES}], month(d)::INT) || CASE WHEN year(d) < 2000 THEN ' одна тысяча' ELSE ' две тысячи' END || CASE WHEN year(d) % 1000 > 0 THEN ' ' || list_element(w, year(d)::INT % 1000 + 1) ELSE '' END || ' года' AS said, list_element(['один', 'два', 'три'], (o_orderkey % 3 + 1)::INT) || ' тире а бэ ' || {' || chr(32) || '.join(_group_words(f"substr(lpad((o_orderkey % 1000000)::VARCHAR, 6, chr(48)), {a}, 2)") for a in (1, 3, 5))} AS certificate FROM n")
+def spoken_papers(spark: SparkSession, sf: str) -> DataFrame:
+    """Dates with the month's name and certificates of birth, said."""
+    k = F.col("o_orderkey")
+    series = F.concat(F.element_at(F.array(*map(F.lit, ("I", "II", "III"))), (k % 3 + 1).cast("int")), F.lit("-АБ"), F.lpad((k % 1_000_000).cast("string"), 6, "0"))
+    return _t(spark, sf, "orders").select("o_orderkey", generate.spoken_birthdate(F.date_format("o_orderdate", "dd.MM.yyyy")).alias("said"), generate.spoken_certificate(series, F.lit("groups")).alias("certificate"))
+
+
 @query("SELECT c_mktsegment, 5::BIGINT AS n FROM customer GROUP BY 1")
 def weighted_draw(spark: SparkSession, sf: str) -> DataFrame:
     rows = _t(spark, sf, "customer").select("c_mktsegment", "c_custkey", (F.abs("c_acctbal") + 1).alias("w"))
     return generate.weighted_without_replacement(rows, "c_mktsegment", "w", 5).groupBy("c_mktsegment").agg(F.count("*").alias("n"))
 
 
-@query()
+_FULL = [(g, f"{s} {n} {p}") for g, ns, ss, ps in (("f", "Анна Мария Ольга", "Иванова Смирнова Орлова", "Ивановна Петровна"), ("m", "Иван Пётр Олег", "Иванов Смирнов Орлов", "Иванович Петрович")) for n in ns.split() for s in ss.split() for p in ps.split()]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{g}', '{name}')" for g, name in _FULL) + ") AS v(gender, full_name)")
 def generated_names(spark: SparkSession, sf: str) -> DataFrame:
     of = lambda words: spark.createDataFrame([(w, 1.0 / (i + 1), "m" if i % 2 else "f") for i, w in enumerate(words.split())], "text string, probability double, gender string")
     return generate.full_names(of("Анна Иван Мария Пётр Ольга Олег"), of("Ивановна Иванович Петровна Петрович"), of("Иванова Иванов Смирнова Смирнов Орлова Орлов"), 1000)
