@@ -33,6 +33,8 @@ from .common import GOLD, U64, claim, col, folded, mix, slices, table, text_batc
 Q, EDIT_RATE = 10, 0.08
 #: Signs of benchmark text in one broadcast index; a larger benchmark is searched in several passes, each of this size.
 INDEX_CHARS = 8_000_000
+#: Pairs of places of equal grams that are laid out at once; a text of more is counted by diagonals.
+MOST_PAIRS = 20_000_000
 
 
 def budget(m: int, rate: float = EDIT_RATE, q: int = Q) -> int:
@@ -180,6 +182,40 @@ class Searcher:
         if not len(at):
             return []
         n = x.first[key + 1] - x.first[key]
+        work = np.bincount(doc, weights=n, minlength=n_texts)
+        heavy = work > MOST_PAIRS  # a text and items that repeat few grams over and over
+        bands = [self._banded(at[some], key[some], doc[some]) for some in self._shares(heavy[doc], doc, n)]
+        for d in np.flatnonzero(heavy):
+            bands += list(self._counted(at[doc == d], key[doc == d], int(d), int(starts[d]), int(starts[d + 1])))
+        best: dict[int, int] = {}
+        for p, low, high in ((int(p), int(a), int(b)) for band in bands for p, a, b in zip(*band)):
+            d, i = divmod(p, len(x.texts))
+            k = int(x.budgets[i])
+            if best.get(p, k + 1) == 0:
+                continue
+            # a start may lie k diagonals before or after any diagonal that has hits
+            first, last = low - starts[d] - k, high - starts[d] + k
+            base = max(0, first - k)
+            region = codes[starts[d] + base : min(starts[d + 1], starts[d] + last + len(x.texts[i]) + 2 * k + 1)]
+            edits = banded_distance(x.texts[i], region, first - base, last - base, k)
+            if edits <= k:
+                best[p] = min(edits, best.get(p, edits))
+        return [(*divmod(p, len(x.texts)), e) for p, e in best.items()]
+
+    @staticmethod
+    def _shares(heavy: np.ndarray, doc: np.ndarray, n: np.ndarray) -> Iterator[np.ndarray]:
+        """The hits of texts that aren't heavy, in runs of whole texts of about ``MOST_PAIRS`` pairs of places."""
+        rest = np.flatnonzero(~heavy)
+        if len(rest):
+            done = np.cumsum(n[rest])
+            share = (done - n[rest]) // MOST_PAIRS
+            share = np.maximum.accumulate(np.where(np.append(True, doc[rest][1:] != doc[rest][:-1]), share, 0))
+            yield from np.split(rest, np.flatnonzero(np.diff(share)) + 1)
+
+    def _banded(self, at: np.ndarray, key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text and item, lowest, highest diagonal) of bands with enough hits, from every pair of places."""
+        x = self.index
+        n = x.first[key + 1] - x.first[key]
         which = np.repeat(np.arange(len(at)), n)
         post = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(x.first[key], n)
         item, diagonal, doc = x.item[post].astype(np.int64), at[which] - x.place[post], doc[which]
@@ -189,7 +225,7 @@ class Searcher:
         some = (count >= x.needed[distinct % len(x.texts)])[back]
         pair, diagonal = pair[some], diagonal[some]
         if not len(pair):
-            return []
+            return pair, pair, pair
         stride = x.budgets[pair % len(x.texts)] + 1
         band = diagonal // stride
         pair, diagonal, band = np.concatenate([pair, pair]), np.concatenate([diagonal, diagonal]), np.concatenate([band, band - 1])
@@ -198,24 +234,37 @@ class Searcher:
         new = np.ones(len(pair), dtype=bool)
         new[1:] = (pair[1:] != pair[:-1]) | (band[1:] != band[:-1])
         begin = np.flatnonzero(new)
-        count = np.diff(np.append(begin, len(pair)))
-        full = count >= x.needed[pair[begin] % len(x.texts)]
-        best: dict[int, int] = {}
-        low, high = np.minimum.reduceat(diagonal, begin), np.maximum.reduceat(diagonal, begin)
-        for b in np.flatnonzero(full):
-            p = int(pair[begin[b]])
-            d, i = divmod(p, len(x.texts))
-            k = int(x.budgets[i])
-            if best.get(p, k + 1) == 0:
-                continue
-            # a start may lie k diagonals before or after any diagonal that has hits
-            first, last = int(low[b]) - starts[d] - k, int(high[b]) - starts[d] + k
-            base = max(0, first - k)
-            region = codes[starts[d] + base : min(starts[d + 1], starts[d] + last + len(x.texts[i]) + 2 * k + 1)]
-            edits = banded_distance(x.texts[i], region, first - base, last - base, k)
-            if edits <= k:
-                best[p] = min(edits, best.get(p, edits))
-        return [(*divmod(p, len(x.texts)), e) for p, e in best.items()]
+        full = np.diff(np.append(begin, len(pair))) >= x.needed[pair[begin] % len(x.texts)]
+        return pair[begin][full], np.minimum.reduceat(diagonal, begin)[full], np.maximum.reduceat(diagonal, begin)[full]
+
+    def _counted(self, at: np.ndarray, key: np.ndarray, d: int, start: int, end: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The same for one text by counting hits on each diagonal: of a gram with many places on both sides by a product of transforms, without its pairs."""
+        x = self.index
+        order = np.argsort(key, kind="stable")
+        key, at = key[order], at[order]
+        keys, begin = np.unique(key, return_index=True)
+        ends = np.append(begin[1:], len(key))
+        post = np.concatenate([np.arange(x.first[k], x.first[k + 1]) for k in keys])
+        gram = np.repeat(np.arange(len(keys)), [x.first[k + 1] - x.first[k] for k in keys])
+        by_item = np.argsort(x.item[post], kind="stable")
+        items, first = np.unique(x.item[post][by_item], return_index=True)
+        for i, mine in zip(items.astype(int), np.split(by_item, first[1:])):
+            m, k = len(x.texts[i]), int(x.budgets[i])
+            size = end - start + m + 1
+            hits = np.zeros(size)
+            for g in np.unique(gram[mine]):
+                of_text, of_item = at[begin[g] : ends[g]] - start, x.place[post[mine[gram[mine] == g]]]
+                if len(of_text) * len(of_item) <= 200_000:
+                    np.add.at(hits, (of_text[:, None] - of_item[None, :] + m).ravel(), 1)
+                else:
+                    one, two = np.zeros(2 * size), np.zeros(2 * size)
+                    one[of_text], two[m - of_item] = 1, 1
+                    hits += np.rint(np.fft.irfft(np.fft.rfft(one) * np.fft.rfft(two), 2 * size))[:size]
+            upto = np.concatenate([[0.0], np.cumsum(hits)])
+            low = np.arange(0, size, k + 1)
+            high = np.minimum(low + 2 * (k + 1), size)
+            full = upto[high] - upto[low] >= x.needed[i]
+            yield np.full(full.sum(), d * len(x.texts) + i), low[full] - m + start, high[full] - 1 - m + start
 
 
 _searchers: dict[str, Searcher] = {}

@@ -333,7 +333,7 @@ def edits_within(item, text):
     return min(row)
 
 
-def test_decontamination_by_brute_force(spark):
+def test_decontamination_by_brute_force(spark, monkeypatch):
     rng = random.Random(5)
     phrase = lambda n: " ".join("".join(rng.choices("abcdefg", k=rng.randint(2, 7))) for _ in range(n))
     items = [phrase(14) for _ in range(5)] + ["short", None, "", "Ab, c", "!?"]
@@ -352,6 +352,9 @@ def test_decontamination_by_brute_force(spark):
     clean = {r.doc_id for r in D.without_contamination(docs_of(spark, texts), bench).collect()}
     assert clean == set(range(len(texts))) - {d for d, _ in want}
     assert D.without_contamination(docs_of(spark, texts), bench.where("item_id > 99")).count() == len(texts)
+    monkeypatch.setattr(D, "MOST_PAIRS", 5)  # by diagonals, the same
+    index = D.build_index(D.pa.array(range(len(items))), items)
+    assert {(d, i) for d, i, _ in D.Searcher(index).matches(texts)} == want
     named = D.contaminated(docs_of(spark, texts).withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), bench.withColumn("item_id", F.concat(F.lit("i"), "item_id")))
     assert {(r.doc_id, r.item_id) for r in named.collect()} == {(f"d{d}", f"i{i}") for d, i in want}
 
