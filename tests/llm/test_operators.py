@@ -417,15 +417,3 @@ def test_rules_score_alike_in_spark_and_numpy(spark):
     odd = {r.doc_id: r for r in R.with_quality(docs_of(spark, ODD), model).collect()}
     assert odd[0].quality_score is None and odd[0].keep is False and odd[1].quality_score is not None
     assert R.train(docs, labels.where("false")).constant == 1.0 and R.with_quality(docs_of(spark, []), model).count() == 0
-
-
-def test_pipeline_keeps_columns_and_counts(spark):
-    import corpus_pipeline as pipe
-
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    names, before = docs.columns, docs.count()
-    for k, (_, stage) in enumerate(pipe.STAGES[:-1]):
-        docs = stage(spark, docs, SF)
-        assert docs.columns == names
-    out = pipe.run(spark, SF)
-    assert out.where("shard >= 0").count() == docs.count() and 0.5 * before < docs.count() < 1.5 * before
