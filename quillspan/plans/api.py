@@ -94,13 +94,16 @@ def run(df: DataFrame, text_col: str = "text", include_spans: bool = True, remov
 def register(spark: SparkSession) -> None:
     """SQL functions over texts: without_fillers, with_digits, without_punctuation, run_json; and the table function number_spans(text)."""
     plain = {"without_fillers": spoken.without_fillers_text, "with_digits": spoken.with_digits_text, "without_punctuation": plain_text, "run_json": lambda t: json.dumps(run_text(t), ensure_ascii=False)}
-    for name, function in plain.items():
 
+    def over(function):
         @F.arrow_udf("string")
-        def each(texts: pa.Array, function=function) -> pa.Array:
+        def each(texts: pa.Array) -> pa.Array:
             return pa.array([None if t is None else function(t) for t in texts.to_pylist()], pa.string())
 
-        spark.udf.register(name, each)
+        return each
+
+    for name, function in plain.items():
+        spark.udf.register(name, over(function))
 
     @F.udtf(returnType="value string, start int, end int, kind string, confidence double")
     class NumberSpans:
