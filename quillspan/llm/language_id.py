@@ -223,52 +223,82 @@ def _fit_part(sample: DataFrame, counts: DataFrame, odd: Column, names: list[str
         signs = np.frombuffer("".join(mine.column("gram").to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         fitted[name] = fit_language(signs.reshape(-1, order), np.asarray(mine.column("n")), order)
     model = Model(list(fitted), order, [x[0] for x in fitted.values()], [x[1] for x in fitted.values()], [x[2] for x in fitted.values()], key=uuid.uuid4().hex)
-    model.limits, scorer = np.full((len(fitted), 4), np.inf), Scorer(model)
-    for i, name in enumerate(fitted):  # one language's texts at a time on the driver
-        held = [r.t for r in sample.where(~odd & (F.col("language") == name)).select("t").collect()]
-        model.limits[i] = calibrate(model, [name] * len(held), held, scorer=scorer)[i]
+    model.limits = np.full((len(fitted), 4), np.inf)
+    held = sample.where(~odd & F.col("language").isin(list(fitted)))
+    shared = sample.sparkSession.sparkContext.broadcast(model)
+    scored = held.select("language", F.pandas_udf(_held_out(shared), "own double, best boolean, size long")("language", "t").alias("s")).select("language", "s.*").toPandas()  # three numbers a text; none comes to the driver
+    for i, name in enumerate(fitted):
+        mine = scored[(scored["language"] == name) & scored["own"].notna()]
+        model.limits[i] = limits_of(mine["own"].to_numpy()[mine["best"].to_numpy(dtype=bool)], mine["size"].to_numpy()[mine["best"].to_numpy(dtype=bool)])
     return model
 
 
-def calibrate(model: Model, languages: list[str], texts: list[str], false_rejection: float = FALSE_REJECTION, scorer: Scorer | None = None) -> np.ndarray:
-    """By language: centre, spread s0 and s1 with variance s0² + s1² / length, and the accepted number of spreads."""
+def _held_out(broadcast):
+    """Of each text its label's cross-entropy, whether that is the lowest, and the text's signs."""
+
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        claim("language_id", _scorers.clear)
+        scorer = _scorer_of(broadcast.value)
+        place = {name: i for i, name in enumerate(broadcast.value.languages)}
+        for languages, texts in batches:
+            own, best, size = np.full(len(texts), np.nan), np.zeros(len(texts), dtype=bool), np.zeros(len(texts), dtype=np.int64)
+            for at, to in slices(pa.array(texts, pa.string(), from_pandas=True), 1_000_000 // max(1, len(place))):
+                ce, n = scorer.cross_entropies(texts.iloc[at:to].tolist())
+                label = languages.iloc[at:to].map(place).to_numpy(dtype=np.int64)
+                own[at:to], size[at:to] = ce[np.arange(to - at), label], n
+                best[at:to] = np.where(np.isnan(ce), np.inf, ce).argmin(axis=1) == label
+            yield pd.DataFrame({"own": own, "best": best, "size": size})
+
+    def typed(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        return score(batches)
+
+    return typed
+
+
+def limits_of(x: np.ndarray, n: np.ndarray, false_rejection: float = FALSE_REJECTION) -> tuple[float, float, float, float]:
+    """Centre, spread s0 and s1 with variance s0² + s1² / length, and the accepted number of spreads, of cross-entropies x of texts of n signs."""
+    n = np.maximum(n, 1)
+    if len(x) < 5:
+        return 0.0, 1.0, 0.0, np.inf
+    centre = np.median(x)
+    off = np.minimum((x - centre) ** 2, np.quantile((x - centre) ** 2, 0.95))
+    s = np.linalg.lstsq(np.stack([np.ones(len(x)), 1 / n], 1), off, rcond=None)[0].clip(0)
+    s[0] = max(s[0], 1e-6)
+    z = (x - centre) / np.sqrt(s[0] + s[1] / n)
+    return centre, s[0], s[1], max(4.0, np.quantile(z, 1 - false_rejection))
+
+
+def calibrate(model: Model, languages: list[str], texts: list[str], false_rejection: float = FALSE_REJECTION) -> np.ndarray:
+    """By language the limits of held-out texts, but for those that another language's model fits better: they are mislabelled, or not of this language alone."""
+    parts = [Scorer(model).cross_entropies(texts[i : i + 50]) for i in range(0, len(texts), 50)]
+    ce, sizes = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros((0, len(model.languages))), np.zeros(0))
     out = np.full((len(model.languages), 4), np.inf)
-    if not texts:
-        out[:, :3] = (0, 1, 0)
-        return out
-    scorer = scorer or Scorer(model)
-    parts = [scorer.cross_entropies(texts[i : i + 50]) for i in range(0, len(texts), 50)]
-    ce, sizes = (np.concatenate(x) for x in zip(*parts))
     for i, name in enumerate(model.languages):
-        mine = np.array([x == name for x in languages]) & ~np.isnan(ce[:, i])
-        mine[mine] = ce[mine].argmin(axis=1) == i  # others are mislabelled, or not of this language alone
-        x, n = ce[mine, i], np.maximum(sizes[mine], 1)
-        if len(x) < 5:
-            out[i] = (0, 1, 0, np.inf)
-            continue
-        centre = np.median(x)
-        off = np.minimum((x - centre) ** 2, np.quantile((x - centre) ** 2, 0.95))
-        a = np.stack([np.ones(len(x)), 1 / n], 1)
-        s = np.linalg.lstsq(a, off, rcond=None)[0].clip(0)
-        s[0] = max(s[0], 1e-6)
-        z = (x - centre) / np.sqrt(s[0] + s[1] / n)
-        out[i] = (centre, s[0], s[1], max(4.0, np.quantile(z, 1 - false_rejection)))
+        mine = np.array([x == name for x in languages], dtype=bool) & ~np.isnan(ce[:, i])
+        mine[mine] = ce[mine].argmin(axis=1) == i
+        out[i] = limits_of(ce[mine, i], sizes[mine], false_rejection)
     return out
 
 
 _scorers: dict[str, Scorer] = {}
 
 
+def _scorer_of(model: Model) -> Scorer:
+    """This worker's scorer of the model; it keeps one at a time."""
+    if model.key not in _scorers:
+        _scorers.clear()
+        _scorers[model.key] = Scorer(model)
+    return _scorers[model.key]
+
+
 def _scored(broadcast):
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         claim("language_id", _scorers.clear)
         model: Model = broadcast.value
-        if model.key not in _scorers:
-            _scorers.clear()
-            _scorers[model.key] = Scorer(model)
+        scorer = _scorer_of(model)
         for batch in batches:
             texts = pa.array(batch, pa.string(), from_pandas=True)
-            parts = [_decided(model, *_scorers[model.key].cross_entropies(batch.iloc[at:to].where(batch.iloc[at:to].notna(), None).tolist())) for at, to in slices(texts, max(20_000, 1_000_000 // max(1, len(model.languages))))]
+            parts = [_decided(model, *scorer.cross_entropies(batch.iloc[at:to].where(batch.iloc[at:to].notna(), None).tolist())) for at, to in slices(texts, max(20_000, 1_000_000 // max(1, len(model.languages))))]
             yield pd.concat(parts, ignore_index=True) if parts else _decided(model, np.zeros((0, len(model.languages))), np.zeros(0))
 
     return score
