@@ -1,4 +1,13 @@
-"""The training-corpus pipeline over the documents table, stage by stage."""
+"""The training-corpus pipeline over the documents table, stage by stage.
+
+A stage decides on all that the one before it kept, and its decisions take effect; all but the last return the columns of
+documents as they are, whatever further columns there are and whatever they are called.
+
+Edges: a null, empty or letterless text has no language and goes with the first stage. Rows of null id go through all stages
+like others, except that no near copy of them is looked for. Of rows that repeat id and text one stays; of rows of one id and
+different texts each is a document of its own. A null source is a source of its own. Copies that the mixing makes are equal
+rows and give equal records. An empty table gives the dictionary's row alone.
+"""
 
 from __future__ import annotations
 
