@@ -98,7 +98,7 @@ def test_generators_and_speech(spark):
     docs = generate.documents(spark, 200)
     again = generate.documents(spark, 200).repartition(7)
     assert docs.exceptAll(again).isEmpty()
-    said = docs.select(spoken.with_digits(F.col("snils")).alias("a"), F.col("snils_raw").alias("b"), spoken.with_digits(F.col("age")).alias("c"), F.col("age_raw").alias("d")).collect()
+    said = docs.select(spoken.with_digits(generate.spoken("snils", F.col("snils_raw"))).alias("a"), F.col("snils_raw").alias("b"), spoken.with_digits(F.col("age")).alias("c"), F.col("age_raw").alias("d")).collect()
     assert all(r.a == r.b and r.c == r.d for r in said)
     assert [r.x for r in spark.range(3).select(generate.number_words(F.element_at(F.array(F.lit(0), F.lit(2001), F.lit(11_000_012)), F.col("id").cast("int") + 1)).alias("x")).collect()] == ["ноль", "две тысячи один", "одиннадцать миллионов двенадцать"]
 
