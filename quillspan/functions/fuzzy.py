@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD, LEAST_LETTERS = 0.82, 4
@@ -42,13 +42,21 @@ def likeness(a: Column, b: Column) -> Column:
 def best_matches(words: DataFrame, vocabulary: DataFrame, threshold: float = THRESHOLD, least: int = LEAST_LETTERS) -> DataFrame:
     """(word, match, score) of every distinct word that is like one of the vocabulary; the first in order on ties.
 
-    The vocabulary's size decides whether Spark broadcasts it. A length bound, which the threshold implies, prunes pairs.
+    Words meet by equal keys. Without a common trigram a score is 0.70 at most, so above that words meet by trigrams; below, by
+    the lengths that the threshold allows.
     """
     a, b = words.select("word").where(F.length("word") >= least).distinct(), vocabulary.select(F.col("word").alias("match")).distinct()
-    shorter, longer = F.least(F.length("word"), F.length("match")), F.greatest(F.length("word"), F.length("match"))
-    scored = a.join(b, 0.58 * shorter / longer + 0.42 >= threshold).withColumn("score", likeness(F.col("word"), F.col("match"))).where(F.col("score") >= threshold)
-    first = Window.partitionBy("word").orderBy(F.desc("score"), "match")
-    return scored.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+    n, share = F.length("word"), max((threshold - 0.42) / 0.58, 0.0)
+    if threshold > 0.7:
+        pairs = a.select("word", F.explode(trigrams(F.col("word"))).alias("key")).join(b.select("match", F.explode(trigrams(F.col("match"))).alias("key")), "key").select("word", "match").distinct()
+    else:
+        longest = b.agg(F.coalesce(F.max(F.length("match")), F.lit(0))).first()[0]
+        high = F.least(F.floor(n / share + 1e-9), F.lit(longest)) if share else F.lit(longest)
+        keys = F.sequence(F.least(F.ceil(n * share - 1e-9), F.lit(longest)).cast("int"), high.cast("int"))
+        pairs = a.select("word", F.explode(F.filter(keys, lambda k: (k >= n * share - 1e-9) & (k * share <= n + 1e-9))).alias("key")).join(b.select("match", F.length("match").alias("key")), "key").drop("key")
+    scored = pairs.withColumn("score", likeness(F.col("word"), F.col("match"))).where(F.col("score") >= threshold)
+    best = scored.groupBy("word").agg(F.min(F.struct((-F.col("score")).alias("s"), "match")).alias("b"))
+    return best.select("word", "b.match", (-F.col("b.s")).alias("score"))
 
 
 # ---------------------------------------------------------------- plain strings, for the number grammar
