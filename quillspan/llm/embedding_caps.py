@@ -39,7 +39,7 @@ from .runs import PACKED, bucket_number, classes, packed_rows, paired
 
 THRESHOLD, CAP_LOAD, SHARED, CODES, MOST_WORDS, SEED = 0.9, 256, 2.0, 8, 2000, 11
 #: Vectors in a bucket, about, and vectors of a cap that one task compares.
-BUCKET_ENTRIES, RUN = 300_000, 8000
+BUCKET_ENTRIES, RUN = 60_000, 8000
 
 
 def _tail(dimension: int, grid: int = 20_001) -> tuple[np.ndarray, np.ndarray]:

@@ -19,6 +19,8 @@ from .common import U64, dropped, saved
 
 #: Nodes of a run that one task pairs; keys that a bucket may hold before it is divided.
 RUN, BUCKET_MOST = 4000, 6_000_000
+#: Buckets that a task takes, about.
+BUCKETS_A_TASK = 5
 PACKED = "bucket int, a binary, b binary, c binary"
 _ROWS = "x long, y long, sure boolean"
 
@@ -184,7 +186,8 @@ def paired(packed: DataFrame, buckets: int, pairs: Pairs = all_pairs, payloads:
     large = saved(sizes.where(F.col("n") > bucket_most).select("bucket"), "large")
     some = not large.isEmpty()
     usual = packed.join(large, "bucket", "left_anti") if some else packed
-    by_bucket = usual.select("bucket", "a", "b", "c").repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    # several small buckets a task, so that chance doesn't heap a few large ones on one
+    by_bucket = usual.select("bucket", "a", "b", "c").repartition(max(8, buckets // BUCKETS_A_TASK), "bucket").sortWithinPartitions("bucket")
     once = lambda rows: saved(rows.groupBy("x", "y").agg(F.max("sure").alias("sure")), "pairs")
     found = once(by_bucket.mapInArrow(_in_buckets(pairs, pairs is all_pairs, run), _ROWS))
     rest = found.where("sure IS NULL").select("x", "y")
