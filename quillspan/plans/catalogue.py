@@ -455,7 +455,7 @@ def multiset_prf(spark: SparkSession, sf: str) -> DataFrame:
     SELECT user_id AS id, event_type AS type, max(cluster)::BIGINT AS clusters FROM c GROUP BY 1, 2
 """)
 def proximity_clusters(spark: SparkSession, sf: str) -> DataFrame:
-    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    at = F.rint(F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).cast("long")  # to the nearest second, as the SQL's cast
     rows = _t(spark, sf, "events").select(F.col("user_id").alias("id"), F.col("event_type").alias("type"), at.alias("start"), (at + 30).alias("end"))
     return evaluation.proximity_clusters(rows, 3600).groupBy("id", "type").agg(F.max("cluster").alias("clusters"))
 
