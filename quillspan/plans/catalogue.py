@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import checksums, fuzzy, lexicon, pii, punctuation, spoken, text
 from ..operators import evaluation, generate, shaping, spans
-from ..sources.io import snapshot_json
+from ..sources.io import snapshot_json, spread
 from ..streaming.transcripts import finds_by_session
 from .api import anonymize, evaluate, run_result
 
@@ -47,6 +47,11 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def _spread(spark: SparkSession, sf: str, name: str, key: str, rows: int = 5_000) -> DataFrame:
+    """A table in parts of about ``rows`` rows by the hash of its key, for work that takes long or holds much a row."""
+    return spread(_t(spark, sf, name), key, rows)
+
+
 def _key(column: str, factor: int, digits: int) -> str:
     return f"lpad(cast({column} * {factor} % {10**digits} as string), {digits}, '0')"
 
@@ -60,7 +65,7 @@ def spoken_customers(spark: SparkSession, sf: str) -> DataFrame:
     """A sentence a customer with a telephone number in words and fillers around it."""
     number = F.concat(F.lit("89"), F.expr(_NINE))
     said = F.concat(F.lit("ну мой телефон эээ "), generate.digits_words(number), F.lit(", вот."))
-    return _t(spark, sf, "customer").select("c_custkey", number.alias("number"), said.alias("text"))
+    return _spread(spark, sf, "customer", "c_custkey").select("c_custkey", number.alias("number"), said.alias("text"))
 
 
 @query(f"SELECT c_custkey, 'мой телефон 89' || {_NINE} AS normalized_text, 'мой телефон [PHONE]' AS masked_text, '+79' || {_NINE} AS phone FROM customer")
@@ -72,7 +77,7 @@ def anonymize_transcripts(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT c_custkey, 'номер ' || c_custkey || ' да' AS normalized_text, 3 AS n_removed, 'hesitation' AS second_reason, 0 AS n_protected, 2 AS n_signs, c_custkey::VARCHAR AS number FROM customer")
 def run_audit(spark: SparkSession, sf: str) -> DataFrame:
     """The layers of a whole run, read from its JSON."""
-    rows = _t(spark, sf, "customer").selectExpr("c_custkey", "'ну номер эээ, ' || c_custkey || '! как бы да' AS text").select("c_custkey", F.to_json(run_result(F.col("text"))).alias("j"))
+    rows = _spread(spark, sf, "customer", "c_custkey").selectExpr("c_custkey", "'ну номер эээ, ' || c_custkey || '! как бы да' AS text").select("c_custkey", F.to_json(run_result(F.col("text"))).alias("j"))
     at = lambda path: F.get_json_object("j", f"$.{path}")
     n = lambda name, kind: F.size(F.from_json(at(name), f"array<struct<{kind}>>"))
     return rows.select("c_custkey", at("normalized_text").alias("normalized_text"), n("removed_spans", "raw:string").alias("n_removed"), at("removed_spans[1].reason").alias("second_reason"), n("punctuation_protected_spans", "raw:string").alias("n_protected"), n("punctuation_removed_spans", "raw:string").alias("n_signs"), at("integer_spans[0].value").alias("number"))
@@ -123,7 +128,7 @@ def evaluation_table(spark: SparkSession, sf: str) -> DataFrame:
 
 def _records(spark: SparkSession, sf: str) -> DataFrame:
     """Annotated records: the spoken sentence, its number as gold, and a harmless text that every fifth time looks like a number."""
-    rows = spoken_customers(spark, sf).join(_t(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey")
+    rows = spoken_customers(spark, sf).join(_spread(spark, sf, "customer", "c_custkey").select("c_custkey", "c_mktsegment"), "c_custkey")
     words = generate.digits_words(F.col("number"))
     negative = F.when(F.col("c_custkey") % 5 == 0, F.concat(F.lit("телефон "), F.col("number"))).otherwise(F.concat(F.lit("доза "), F.col("c_custkey") % 9, F.lit(" мг")))
     note = F.struct(F.lit(19).alias("start"), (F.lit(19) + F.length(words)).alias("end"), F.lit("ТЕЛЕФОН").alias("type"), words.alias("text"))
@@ -136,7 +141,7 @@ _ORDINALS += [f"двадцать {w}" for w in _ORDINALS[:9]]
 
 def _typed_records(spark: SparkSession, sf: str) -> DataFrame:
     """Annotated records of all ten types, by key: the number in words after the words of its carrier; of birth dates every other one with the month's name."""
-    said = _t(spark, sf, "customer").selectExpr("c_custkey", "c_mktsegment", f"element_at(array({', '.join(_CARRIERS.values())}), cast(c_custkey % {len(_CARRIERS)} as int) + 1) AS t")
+    said = _spread(spark, sf, "customer", "c_custkey").selectExpr("c_custkey", "c_mktsegment", f"element_at(array({', '.join(_CARRIERS.values())}), cast(c_custkey % {len(_CARRIERS)} as int) + 1) AS t")
     kind = F.element_at(F.array(*map(F.lit, _CARRIERS)), (F.col("c_custkey") % len(_CARRIERS)).cast("int") + 1)
     number = F.regexp_replace(F.regexp_extract("t", r"\d[\d. а-я]*$", 0), r"\D", "")
     lead = F.regexp_extract("t", r"^\D+", 0)
@@ -168,7 +173,7 @@ _CARRIERS = {
 def carriers(spark: SparkSession, sf: str) -> DataFrame:
     """(c_custkey, wanted, text): a sentence of every type a customer."""
     pairs = ", ".join(f"named_struct('wanted', '{k}', 'text', {v})" for k, v in _CARRIERS.items())
-    return _t(spark, sf, "customer").selectExpr("c_custkey", f"inline(array({pairs}))")
+    return _spread(spark, sf, "customer", "c_custkey").selectExpr("c_custkey", f"inline(array({pairs}))")
 
 
 @query("SELECT t AS type, count(*)::BIGINT AS n FROM customer, (SELECT unnest([" + ", ".join(f"'{k}'" for k in _CARRIERS) + "]) AS t) GROUP BY ROLLUP (t)")
@@ -179,13 +184,13 @@ def pii_type_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT c_custkey, 'телефон [PHONE]' AS masked_text FROM customer")
 def phone_mask(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "customer").selectExpr("c_custkey", f"{_CARRIERS['PHONE']} AS text")
+    rows = _spread(spark, sf, "customer", "c_custkey").selectExpr("c_custkey", f"{_CARRIERS['PHONE']} AS text")
     return pii.with_pii(rows, as_of=AS_OF).select("c_custkey", "masked_text")
 
 
 @query(f"SELECT c_custkey, 'телефон <тел>' AS masked_text FROM customer")
 def mask_replacements(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "customer").selectExpr("c_custkey", f"{_CARRIERS['PHONE']} AS text")
+    rows = _spread(spark, sf, "customer", "c_custkey").selectExpr("c_custkey", f"{_CARRIERS['PHONE']} AS text")
     return rows.select("c_custkey", pii.mask("text", pii.find_pii("text"), {"PHONE": "<тел>"}).alias("masked_text"))
 
 
@@ -205,7 +210,7 @@ def pii_metadata(spark: SparkSession, sf: str) -> DataFrame:
 def custom_rules(spark: SparkSession, sf: str) -> DataFrame:
     """A rule of one's own in place of the ten."""
     own = pii.Rule("ORDER", "order", pii._n(7), pii._stems("заказ"), pii._stems("возврат"), 20, 0, 50, 0.7, lengths=(7, 7))
-    rows = _t(spark, sf, "customer").selectExpr("c_custkey", f"'заказ № ' || {_SEVEN} AS text")
+    rows = _spread(spark, sf, "customer", "c_custkey").selectExpr("c_custkey", f"'заказ № ' || {_SEVEN} AS text")
     done = pii.with_pii(rows, rules=[own])
     return done.select("c_custkey", F.get("pii", F.lit(0))["type"].alias("type"), F.get("pii", F.lit(0))["normalized"].alias("normalized"), "masked_text")
 
@@ -292,7 +297,7 @@ def punctuation_protected(spark: SparkSession, sf: str) -> DataFrame:
 
 def _mixed_text(spark: SparkSession, sf: str) -> DataFrame:
     """Sentences with an address, a link, a version and a domain, all by key."""
-    return _t(spark, sf, "customer").selectExpr("c_custkey", "'Почта c' || c_custkey || '@mail.ru, сайт https://a.b/c?x=' || c_custkey || ', версия 1.' || c_custkey || '.3 — на яндекс.рф! (да); №' || c_custkey AS text")
+    return _spread(spark, sf, "customer", "c_custkey").selectExpr("c_custkey", "'Почта c' || c_custkey || '@mail.ru, сайт https://a.b/c?x=' || c_custkey || ', версия 1.' || c_custkey || '.3 — на яндекс.рф! (да); №' || c_custkey AS text")
 
 
 @query("SELECT c_custkey, 'Почта c' || c_custkey || '@mail.ru сайт https://a.b/c?x=' || c_custkey || ' версия 1.' || c_custkey || '.3 на яндекс.рф да ' || c_custkey AS plain, 'Почта c' || c_custkey || '@mail.ru_ сайт https://a.b/c?x=' || c_custkey || '_ версия 1.' || c_custkey || '.3 на яндекс.рф_ да__ ' || c_custkey AS marked FROM customer")
@@ -318,13 +323,13 @@ def protected_emails(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT c_custkey, 'номер ' || cast(c_custkey as string) || ' да' AS fluent_text FROM customer")
 def filler_removal(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "customer").selectExpr("c_custkey", "'ну, как бы номер э-э ' || cast(c_custkey as string) || ' эээ, ой, да вот' AS text")
+    rows = _spread(spark, sf, "customer", "c_custkey").selectExpr("c_custkey", "'ну, как бы номер э-э ' || cast(c_custkey as string) || ' эээ, ой, да вот' AS text")
     return rows.select("c_custkey", spoken.without_fillers(F.col("text")).alias("fluent_text"))
 
 
 @query("SELECT c_custkey, 3::INTEGER AS n, ['discourse_marker', 'hesitation', 'phrase_filler']::VARCHAR AS reasons FROM customer")
 def filler_audit(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "customer").selectExpr("c_custkey", "'ну номер эээ ' || cast(c_custkey as string) || ' как бы' AS text")
+    rows = _spread(spark, sf, "customer", "c_custkey").selectExpr("c_custkey", "'ну номер эээ ' || cast(c_custkey as string) || ' как бы' AS text")
     found = rows.select("c_custkey", spoken.filler_spans(F.col("text")).alias("s"))
     return found.select("c_custkey", F.size("s").alias("n"), F.concat(F.lit("["), F.array_join(F.array_sort(F.array_distinct("s.reason")), ", "), F.lit("]")).alias("reasons"))
 
@@ -335,7 +340,7 @@ _LEFT = ["да", "он ах сказал", "пошли", "", "номер", ""]
 
 def _cases(spark: SparkSession, sf: str, texts: list[str]) -> DataFrame:
     """A text of the list a customer, by turns."""
-    return _t(spark, sf, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, texts)), (F.col("c_custkey") % len(texts) + 1).cast("int")).alias("text"))
+    return _spread(spark, sf, "customer", "c_custkey").select("c_custkey", F.element_at(F.array(*map(F.lit, texts)), (F.col("c_custkey") % len(texts) + 1).cast("int")).alias("text"))
 
 
 def _answers(name: str, *columns: tuple[str, list]) -> str:
@@ -377,13 +382,13 @@ def number_confidence(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"SELECT c_custkey, {_NINE} AS value, 'digit_sequence' AS kind FROM customer")
 def digit_sequence_parse(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "customer").select("c_custkey", generate.digits_words(F.expr(_NINE)).alias("text"))
+    rows = _spread(spark, sf, "customer", "c_custkey").select("c_custkey", generate.digits_words(F.expr(_NINE)).alias("text"))
     return rows.select("c_custkey", F.get(spoken.extract_numbers(F.col("text")), F.lit(0)).alias("s")).select("c_custkey", "s.value", "s.kind")
 
 
 @query("SELECT o_orderkey, cast(o_orderkey * 7919 as string) AS value FROM orders")
 def cardinal_parse(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "orders").select("o_orderkey", generate.number_words(F.col("o_orderkey") * 7919).alias("text"))
+    rows = _spread(spark, sf, "orders", "o_orderkey", 25_000).select("o_orderkey", generate.number_words(F.col("o_orderkey") * 7919).alias("text"))
     return rows.select("o_orderkey", spoken.with_digits(F.col("text")).alias("value"))
 
 
@@ -391,7 +396,7 @@ def cardinal_parse(spark: SparkSession, sf: str) -> DataFrame:
 def concatenated_parse(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
      # a ten before its digit would be one number, so it is written out
-    rows = _t(spark, sf, "customer").select("c_custkey", F.concat(F.lit("код "), (k % 90 + 10).cast("string"), F.lit(" "), generate.digits_words(F.lpad((k % 100).cast("string"), 2, "0"))).alias("text"))
+    rows = _spread(spark, sf, "customer", "c_custkey").select("c_custkey", F.concat(F.lit("код "), (k % 90 + 10).cast("string"), F.lit(" "), generate.digits_words(F.lpad((k % 100).cast("string"), 2, "0"))).alias("text"))
     return rows.select("c_custkey", spoken.with_digits(F.col("text")).alias("normalized_text"))
 
 
@@ -729,7 +734,7 @@ def generated_documents(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT c_custkey, true AS snils_ok, true AS inn_ok, true AS oms_ok FROM customer")
 def generated_checksums(spark: SparkSession, sf: str) -> DataFrame:
     key = F.col("c_custkey")
-    rows = _t(spark, sf, "customer").select("c_custkey", generate.snils(key).alias("s"), generate.inn(key).alias("i"), generate.oms(key).alias("o"))
+    rows = _spread(spark, sf, "customer", "c_custkey").select("c_custkey", generate.snils(key).alias("s"), generate.inn(key).alias("i"), generate.oms(key).alias("o"))
     return rows.select("c_custkey", checksums.snils_valid(F.col("s")).alias("snils_ok"), checksums.inn_valid(F.col("i")).alias("inn_ok"), ((F.length("o") == 18) & (checksums.luhn_control(F.col("o"), 17).cast("string") == F.substring("o", 18, 1))).alias("oms_ok"))
 
 
@@ -760,7 +765,7 @@ def _group_words(g: str) -> str:
 @query(f"WITH n AS (SELECT c_custkey, {_key('c_custkey', 104729, 11)} AS v, {_SEVEN} AS p, [{', '.join(repr(w) for w in _plain_words())}] AS w FROM customer) SELECT c_custkey, CASE c_custkey % 2 WHEN 0 THEN {' || chr(32) || '.join(_group_words(f'substr(v, {a}, {b})') for a, b in ((1, 3), (4, 3), (7, 3), (10, 2)))} ELSE {' || chr(32) || '.join(_group_words(f'substr(v, {a}, 1)') for a in range(1, 12))} END AS snils, list_element(['плюс семь', 'восемь', 'семь', 'плюс семь'], (c_custkey % 4 + 1)::INT) || ' ' || {' || chr(32) || '.join(_group_words(f'substr(913 || p, {a}, {b})') for a, b in ((1, 3), (4, 3), (7, 2), (9, 2)))} AS phone FROM n")
 def spoken_groups(spark: SparkSession, sf: str) -> DataFrame:
     k = F.col("c_custkey")
-    rows = _t(spark, sf, "customer").select("c_custkey", F.expr(_key("c_custkey", 104729, 11)).alias("v"), F.concat(F.lit("7913"), F.expr(_SEVEN)).alias("p"))
+    rows = _spread(spark, sf, "customer", "c_custkey").select("c_custkey", F.expr(_key("c_custkey", 104729, 11)).alias("v"), F.concat(F.lit("7913"), F.expr(_SEVEN)).alias("p"))
     mode = F.when(k % 2 == 0, "3-3-3-2").otherwise("digits")
     prefix = F.element_at(F.array(*map(F.lit, ("+7", "8", "7", "plus"))), (k % 4 + 1).cast("int"))
     return rows.select("c_custkey", generate.spoken_by_mode("snils", F.col("v"), mode).alias("snils"), generate.spoken_mobile(F.col("p"), F.lit("groups"), prefix).alias("phone"))
@@ -797,13 +802,13 @@ _SPELL = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in (shaping._NAMES | dict(
 
 @query(f"SELECT c_custkey, array_to_string(list_transform(string_split(lower(replace(c_name, '#', '_')), ''), lambda c: {_SPELL}[c]), ' ') || ' собака ' || 'эм эй ай эл точка эр ю' AS said FROM customer")
 def address_spelled(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "customer").select("c_custkey", F.concat(F.lower(F.translate("c_name", "#", "_")), F.lit("@mail.ru")).alias("a"))
+    rows = _spread(spark, sf, "customer", "c_custkey").select("c_custkey", F.concat(F.lower(F.translate("c_name", "#", "_")), F.lit("@mail.ru")).alias("a"))
     return rows.select("c_custkey", shaping.address_spoken(F.col("a"), "spell").alias("said"))
 
 
 @query("SELECT c_custkey, 'цустомер подчеркивание ' || (CASE WHEN c_custkey < 10 THEN 'ноль' ELSE 'десять' END) || ' собака маил точка ру' AS said FROM customer")
 def address_words(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _t(spark, sf, "customer").select("c_custkey", F.concat(F.lit("customer_"), F.when(F.col("c_custkey") < 10, "0").otherwise("10"), F.lit("@mail.ru")).alias("a"))
+    rows = _spread(spark, sf, "customer", "c_custkey").select("c_custkey", F.concat(F.lit("customer_"), F.when(F.col("c_custkey") < 10, "0").otherwise("10"), F.lit("@mail.ru")).alias("a"))
     return rows.select("c_custkey", shaping.address_spoken(F.col("a")).alias("said"))
 
 

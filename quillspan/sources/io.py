@@ -29,6 +29,16 @@ def shared_folder(spark: SparkSession) -> str:
     return at
 
 
+def spread(df: DataFrame, key: str, rows: int = 5_000) -> DataFrame:
+    """df in parts of about ``rows`` rows by the hash of ``key``, counted from the files' footers: as many parts as the table asks for.
+
+    Files are read by row groups, so a narrow table of a million rows is one task, however long its rows take.
+    """
+    total = df.count()
+    parts = max(-(-total // rows), min(df.sparkSession.sparkContext.defaultParallelism, 10 * total // rows), 1)
+    return df.repartition(parts, key)
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """The rows of df, written once in the shared folder."""
     path = f"{shared_folder(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
