@@ -21,6 +21,7 @@ from .api import anonymize, evaluate, run_result
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 AS_OF = date(2026, 1, 1)
+CASES = 100_000  # rows of a part where rows are grouped by case
 
 
 def query(sql: str | None = None):
@@ -493,8 +494,8 @@ _P = "SELECT DISTINCT l_orderkey AS case_id, 0 AS line, (l_partkey % 60 + (CASE
 
 
 def span_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """Gold spans of orders, and predictions that shift, relabel and miss some."""
-    rows = _t(spark, sf, "lineitem")
+    """Gold spans of orders, and predictions that shift, relabel and miss some. Both lie by their case, in parts of bounded size, so what is done a case moves nothing more."""
+    rows = _spread(spark, sf, "lineitem", "l_orderkey", CASES)
     begin, width = (F.col("l_partkey") % 60).cast("int"), (1 + F.col("l_suppkey") % 12).cast("int")
     shift = F.when(F.col("l_linenumber") % 3 == 0, 1).otherwise(0)
     shape = lambda df, b, label: df.select(F.col("l_orderkey").alias("case_id"), F.lit(0).alias("line"), b.alias("begin"), (b + width).alias("end"), label.alias("label")).distinct()
@@ -619,7 +620,7 @@ _FIRST, _LONGEST = 's.begin, s."end", s.label', 's.begin, s."end" DESC, s.label'
 
 def token_grid(spark: SparkSession, sf: str) -> DataFrame:
     n = F.col("l_linenumber")
-    return _t(spark, sf, "lineitem").select(F.col("l_orderkey").alias("case_id"), n.alias("token"), (n * 10).alias("t_begin"), (n * 10 + 8).alias("t_end")).distinct()
+    return _spread(spark, sf, "lineitem", "l_orderkey", CASES).select(F.col("l_orderkey").alias("case_id"), n.alias("token"), (n * 10).alias("t_begin"), (n * 10 + 8).alias("t_end")).distinct()
 
 
 @query(_bio(_G, _FIRST))
@@ -713,8 +714,8 @@ def snapshot_cases(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT o_orderkey AS case_id, 'prediction' AS missing FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_suppkey % 2 = 0)")
 def misaligned_cases(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("case_id"))
-    return spans.misaligned(docs, _t(spark, sf, "lineitem").where("l_suppkey % 2 = 0").select(F.col("l_orderkey").alias("case_id")).join(docs, "case_id", "left_semi"))
+    docs = _spread(spark, sf, "orders", "o_orderkey", CASES // 4).select(F.col("o_orderkey").alias("case_id"))
+    return spans.misaligned(docs, _spread(spark, sf, "lineitem", "l_orderkey", CASES).where("l_suppkey % 2 = 0").select(F.col("l_orderkey").alias("case_id")).join(docs, "case_id", "left_semi"))
 
 
 @query(f"SELECT CASE WHEN begin - 5 < 0 THEN 'begin' ELSE 'end' END AS reason, count(*)::BIGINT AS n FROM ({_G}) WHERE begin - 5 < 0 OR \"end\" - 10 <= begin - 5 GROUP BY 1")
