@@ -27,6 +27,12 @@ def compiled(pattern: str) -> regex.Pattern:
     return regex.compile(_FLAGS.sub("", pattern), flags | regex.V0)
 
 
+def slices(batch: pa.Array, rows: int = 256) -> Iterator[list]:
+    """The values of a batch, a few at a time, one slice of none for an empty batch: a batch of long texts isn't held twice."""
+    for i in range(0, max(len(batch), 1), rows):
+        yield batch.slice(i, rows).to_pylist()
+
+
 class Lists:
     """Builds one list of structs a text, field by field."""
 
@@ -50,10 +56,11 @@ def scanned(schema: str, fields: dict[str, pa.DataType], read: Callable[[str, Li
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             out = Lists(**fields)
-            for text in batch.to_pylist():
-                if text is not None:
-                    read(text, out)
-                out.close(text is None and not empty_for_null)
+            for texts in slices(batch):
+                for text in texts:
+                    if text is not None:
+                        read(text, out)
+                    out.close(text is None and not empty_for_null)
             yield out.array()
 
     return scan

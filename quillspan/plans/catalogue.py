@@ -53,6 +53,14 @@ def _spread(spark: SparkSession, sf: str, name: str, key: str, rows: int = 5_000
     return spread(_t(spark, sf, name), key, rows)
 
 
+def _documents(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents, of which fewer than Spark's default travel to Python at a time, since these are whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= 1000:
+        spark.conf.set(name, "1000")
+    return _t(spark, sf, "documents")
+
+
 def _key(column: str, factor: int, digits: int) -> str:
     return f"lpad(cast({column} * {factor} % {10**digits} as string), {digits}, '0')"
 
@@ -288,12 +296,12 @@ def word_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '[\pP№]+', ' ', 'g'), '\s+', ' ', 'g')) AS clean FROM documents")
 def punctuation_plain(spark: SparkSession, sf: str) -> DataFrame:
     off = punctuation.PunctuationConfig(keep_numeric=False, keep_domains=False, keep_urls=False, keep_emails=False)
-    return _t(spark, sf, "documents").select("doc_id", punctuation.without_punctuation("text", off).alias("clean"))
+    return _documents(spark, sf).select("doc_id", punctuation.without_punctuation("text", off).alias("clean"))
 
 
 @query()
 def punctuation_protected(spark: SparkSession, sf: str) -> DataFrame:
-    return _t(spark, sf, "documents").select("doc_id", punctuation.without_punctuation("text").alias("clean"))
+    return _documents(spark, sf).select("doc_id", punctuation.without_punctuation("text").alias("clean"))
 
 
 def _mixed_text(spark: SparkSession, sf: str) -> DataFrame:
@@ -319,7 +327,7 @@ def protected_reasons(spark: SparkSession, sf: str) -> DataFrame:
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}'))::INTEGER AS n FROM documents")
 def protected_emails(spark: SparkSession, sf: str) -> DataFrame:
     only = punctuation.PunctuationConfig(keep_numeric=False, keep_domains=False, keep_urls=False)
-    return _t(spark, sf, "documents").select("doc_id", F.size(punctuation.protected_spans("text", only)).alias("n"))
+    return _documents(spark, sf).select("doc_id", F.size(punctuation.protected_spans("text", only)).alias("n"))
 
 
 @query("SELECT c_custkey, 'номер ' || cast(c_custkey as string) || ' да' AS fluent_text FROM customer")
@@ -482,7 +490,7 @@ def soft_keys(spark: SparkSession, sf: str) -> DataFrame:
 def session_finds(spark: SparkSession, sf: str) -> DataFrame:
     """The streaming operator over a table: turns and found data in sessions."""
     said = F.when(F.col("event_id") % 2 == 0, "телефон восемь девять один три один два три четыре пять шесть семь").otherwise("пульс восемьдесят")
-    rows = _t(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), said.alias("text"))
+    rows = _spread(spark, sf, "events", "user_id", 20_000).select("user_id", F.col("ts").cast("timestamp").alias("ts"), said.alias("text"))
     done = finds_by_session(rows)
     return done.select("user_id", (F.unix_micros("session.end") - F.unix_micros("session.start")).alias("micros"), "turns", "finds")
 
