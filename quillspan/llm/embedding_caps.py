@@ -40,6 +40,8 @@ from .runs import PACKED, bucket_number, classes, packed_rows, paired
 THRESHOLD, CAP_LOAD, SHARED, CODES, MOST_WORDS, SEED = 0.9, 256, 2.0, 8, 2000, 11
 #: Vectors in a bucket, about, and vectors of a cap that one task compares.
 BUCKET_ENTRIES, RUN = 60_000, 8000
+#: Scores that a task decodes at a time, and bytes of vectors that it holds before it packs them.
+STEP, HELD = 2_000_000, 16_000_000
 
 
 def _tail(dimension: int, grid: int = 20_001) -> tuple[np.ndarray, np.ndarray]:
@@ -101,7 +103,7 @@ def list_decode(vectors: np.ndarray, height: float, caps: float, seed: int = SEE
     who, total, path = np.arange(n), np.zeros(n), np.zeros(n, dtype=np.int64)
     goal = np.minimum(height, rest[0] - 1e-12)  # the best direction is always taken
     for k, s in enumerate(scores):
-        parts, step = [], max(1, 8_000_000 // s.shape[1])
+        parts, step = [], max(1, STEP // s.shape[1])
         for i in range(0, len(who), step):
             w, t, p = who[i : i + step], total[i : i + step], path[i : i + step]
             lifted = t[:, None] + s[w]
@@ -206,7 +208,7 @@ def _filtered(n: int, threshold: float, seed: int, buckets: int):
                     who, path = list_decode(x.astype(float), height, caps, seed + k)
                     cap = mix(mix(path.astype(U64) + np.full(1, k, dtype=U64) * GOLD) + U64(dimension)).view(np.int64)
                     held.append((cap, node[rows[at : at + 2000]][who], payload[who]))
-                    if sum(h[2].size for h in held) > 50_000_000:
+                    if sum(h[2].size for h in held) > HELD:
                         yield from flushed()
         yield from flushed()
 
