@@ -95,7 +95,8 @@ def without_punctuation(text: Column | str, config: PunctuationConfig = Punctuat
     @F.arrow_udf("string")
     def clean(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.concat_arrays([pa.array([None if t is None else plain_text(t, config) for t in texts], pa.string()) for texts in scan.slices(batch)])
+            for texts in scan.slices(batch):
+                yield pa.array([None if t is None else plain_text(t, config) for t in texts], pa.string())
 
     return clean(_col(text))
 

@@ -27,10 +27,18 @@ def compiled(pattern: str) -> regex.Pattern:
     return regex.compile(_FLAGS.sub("", pattern), flags | regex.V0)
 
 
-def slices(batch: pa.Array, rows: int = 256) -> Iterator[list]:
-    """The values of a batch, a few at a time, one slice of none for an empty batch: a batch of long texts isn't held twice."""
-    for i in range(0, max(len(batch), 1), rows):
-        yield batch.slice(i, rows).to_pylist()
+def slices(batch: pa.Array, rows: int = 256, size: int = 1 << 20) -> Iterator[list]:
+    """The values of a batch, a few at a time, one slice of none for an empty batch: a batch of long texts isn't held twice.
+
+    A slice has at most ``size`` bytes, or one longer value. What is made of a slice is given back before the next.
+    """
+    i = 0
+    while i < max(len(batch), 1):
+        n = rows
+        while n > 1 and batch.slice(i, n).nbytes > size:
+            n //= 2
+        yield batch.slice(i, n).to_pylist()
+        i += n
 
 
 class Lists:
@@ -54,13 +62,12 @@ def scanned(schema: str, fields: dict[str, pa.DataType], read: Callable[[str, Li
 
     @F.arrow_udf(schema)
     def scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for texts in (x for batch in batches for x in slices(batch)):
             out = Lists(**fields)
-            for texts in slices(batch):
-                for text in texts:
-                    if text is not None:
-                        read(text, out)
-                    out.close(text is None and not empty_for_null)
+            for text in texts:
+                if text is not None:
+                    read(text, out)
+                out.close(text is None and not empty_for_null)
             yield out.array()
 
     return scan

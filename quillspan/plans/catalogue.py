@@ -53,12 +53,13 @@ def _spread(spark: SparkSession, sf: str, name: str, key: str, rows: int = 5_000
     return spread(_t(spark, sf, name), key, rows)
 
 
-def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents, of which fewer than Spark's default travel to Python at a time, since these are whole texts."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= 1000:
-        spark.conf.set(name, "1000")
-    return _t(spark, sf, "documents")
+def _documents(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
+    """Documents, or another table of whole texts, of which fewer rows and bytes than Spark's defaults travel to Python at a time."""
+    in_bytes = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for limit, read, most in (("maxRecordsPerBatch", int, 1000), ("maxBytesPerBatch", in_bytes, 4 << 20)):
+        if not 0 < read(spark.conf.get(f"spark.sql.execution.arrow.{limit}")) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{limit}", str(most))
+    return _t(spark, sf, name)
 
 
 def _key(column: str, factor: int, digits: int) -> str:
@@ -285,7 +286,7 @@ def token_offsets(spark: SparkSession, sf: str) -> DataFrame:
     words = F.filter(text.tokens("text"), lambda t: t["kind"] == "word")
     width = F.aggregate(words, F.lit(0).cast("long"), lambda n, t: n + t["end"] - t["start"])
     cut = F.array_join(F.transform(text.tokens("text"), lambda t: text.cut(F.col("text"), t["start"], t["end"])), "")
-    return _t(spark, sf, "conversations").select("conv_id", "turn", width.alias("letters"), cut.alias("cut_out"))
+    return _documents(spark, sf, "conversations").select("conv_id", "turn", width.alias("letters"), cut.alias("cut_out"))
 
 
 @query(r"SELECT doc_id, len(regexp_extract_all(text, '\S+'))::INTEGER AS n_words FROM documents")
